@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, table, worker_cache
 
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?<= )(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+"
-#: The library's own cut, for the inside of such a joined piece.
+#: The library's cut (the byte-level pre-tokenizer's pattern, fixed).
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same, with each longer run of white space joined with the piece after it.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s{2,}(?:(?<! )(?:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+"
+RUN = r"\s{2,}"
 LIMIT = 1024
 #: Pieces that a worker keeps; older ones go first.
 KEPT_PIECES = 300_000
@@ -59,7 +61,7 @@ class PrefixCounter:
             self.rank.setdefault(x + y, r)
         self.longest = max(map(len, self.rank))
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"] or t["content"]]
-        self.pieces, self.cut = regex.compile(PIECES), regex.compile(CUT)
+        self.pieces, self.cut, self.run_of_space = regex.compile(PIECES), regex.compile(CUT), regex.compile(RUN)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -111,14 +113,19 @@ class PrefixCounter:
 
     def of_piece(self, piece: str) -> bytes:
         """Differences of the counts at the piece's characters, as 16-bit numbers."""
-        counts = []
-        if len(piece) > 1 and piece[0].isspace() and piece[1].isspace():
-            run = len(piece) - len(piece.lstrip()) if piece.strip() else len(piece)
-            whole = self._at_characters(piece[:run])
-            counts = whole
-            if run < len(piece):  # the run without its last space, then that space with the rest
-                counts = counts + [whole[run - 2] + c for c in self._at_characters(piece[run - 1 :])[1:]]
+        run = self.run_of_space.match(piece)
+        if run:
+            space, rest = piece[: run.end()], piece[run.end() :]
+            counts = self._at_characters(space)
+            if rest:  # the run without its last character, which goes with the rest if it is a space
+                base = counts[-2]
+                if space[-1] == " ":
+                    counts += [base + c for c in self._at_characters(" " + rest)[1:]]
+                else:
+                    base += self._at_characters(space[-1])[0]
+                    counts += [base + c for c in self._at_characters(rest)]
         else:
+            counts = []
             for part in self.cut.findall(piece):
                 counts += [(counts[-1] if counts else 0) + c for c in self._at_characters(part)]
         return np.diff(np.array([0, *counts], np.int64)).astype(np.int16).tobytes()
@@ -154,10 +161,12 @@ class PrefixCounter:
         for k, part in enumerate(parts):
             if k % 2 == 0:
                 deltas += self._ordinary(part)
-            else:  # a special string: inside it ordinary counts, at its end one token
-                inner = np.frombuffer(b"".join(self._ordinary(part)), np.int16).copy()
-                inner[-1] = 1 - int(inner[:-1].sum())
-                deltas.append(inner.tobytes())
+            else:  # ordinary counts inside a special string, where it is one text with the piece before it; at its end one token
+                tail = (self.pieces.findall(parts[k - 1]) or [""])[-1]
+                joined = np.cumsum(np.frombuffer(b"".join(self._ordinary(tail + part)), np.int16), dtype=np.int64)
+                before = int(np.frombuffer(b"".join(self._ordinary(tail)), np.int16).sum())
+                inner = np.append(joined[len(tail) : -1] - before, 1)
+                deltas.append(np.diff(inner, prepend=0).astype(np.int16).tobytes())
         return np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(deltas), np.int16), dtype=np.int64)])
 
 

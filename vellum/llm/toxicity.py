@@ -4,7 +4,8 @@ Numpy classifiers learn from confirmed toxic texts (positives) and unlabelled te
   p * E_pos[loss(f, 1)] + max(0, E_unl[loss(f, 0)] - p * E_pos[loss(f, 0)]),
 the logistic loss, whose correction stays non-negative: when the bracket falls below zero its gradient is turned round.
 
-Features are the distinct words of the whole text (letters and digits, A-Z lowered), hashed. Only these reach a score:
+Features are the distinct words of the whole text (letters and digits, A-Z lowered) and their beginnings, hashed; the
+fit keeps those that tell positives from unlabelled texts. Only these reach a score:
 never label, lang, source or id. The classifiers are fitted on samples bounded by MAX_POSITIVE and MAX_UNLABELLED (the
 documents with the smallest hashes of their ids, which the driver gets as hashed features, not texts); every document is
 scored. Documents whose crc32(id) modulo FOLDS is HELD_OUT lend neither label nor text to the fit.
@@ -30,17 +31,33 @@ FOLDS, HELD_OUT = 5, 0
 #: Bounds of the fitting samples.
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 BUCKETS = 1 << 20
-#: A feature must occur in so many texts of the samples.
-MIN_TEXTS = 8
+#: A feature must occur in so many texts of the samples, and tell positives from unlabelled texts by so many standard errors.
+MIN_TEXTS, MIN_Z = 4, 4.0
 MODELS, STEPS, RATE, DECAY = 3, 200, 0.1, 1e-4
 LEAST_PRIOR, MOST_PRIOR = 0.01, 0.5
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
-KEPT_WORDS = 400_000
+#: Bytes of a word's beginnings that are features as well.
+STEMS = (4, 5, 6, 7)
+KEPT_WORDS = 300_000
+
+
+def features_of(word: bytes) -> list[int]:
+    """Hashes of the word and of its beginnings, which stand for a stem with many endings."""
+    return [zlib.crc32(x) % BUCKETS for x in (word, *(word[:k] + b"-" for k in STEMS if len(word) > k))]
 
 
 def features(text: bytes) -> np.ndarray:
-    """Hashed distinct words."""
-    return np.unique(np.fromiter((zlib.crc32(w) % BUCKETS for w in set(TOKEN.findall(text.lower()))), np.int64))
+    """Hashed distinct words and stems."""
+    return np.array(sorted({h for w in set(TOKEN.findall(text.lower())) for h in features_of(w)}), np.int64)
+
+
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """Features whose share among positives differs from that among unlabelled texts by MIN_Z standard errors."""
+    seen = [np.bincount(np.concatenate([*x, np.zeros(0, np.int64)]), minlength=BUCKETS) for x in (positive, unlabelled)]
+    n, m = max(1, len(positive)), max(1, len(unlabelled))
+    common = (seen[0] + seen[1] + 1) / (n + m + 2)
+    z = (seen[0] / n - seen[1] / m) / np.sqrt(common * (1 - common) * (1 / n + 1 / m))
+    return np.flatnonzero((np.abs(z) >= MIN_Z) & (seen[0] + seen[1] >= MIN_TEXTS))
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -48,8 +65,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     rows = [*positive, *unlabelled]
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     flat = np.concatenate([*rows, np.zeros(0, np.int64)])
-    seen = np.bincount(flat, minlength=BUCKETS)
-    kept = np.flatnonzero(seen >= MIN_TEXTS)
+    kept = telling(positive, unlabelled)
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(kept.size)
     row_of, column = np.repeat(np.arange(len(rows)), sizes), place[flat]
@@ -131,13 +147,13 @@ def score(docs: DataFrame, models: list[tuple[np.ndarray, float]], id_col: str =
                 continue
             used = set()
             for w in set(TOKEN.findall(text.lower())):
-                at = known.get(w, -2)
-                if at == -2:
-                    at = place.get(zlib.crc32(w) % BUCKETS, -1)
+                at = known.get(w)
+                if at is None:
+                    at = tuple(place[h] for h in features_of(w) if h in place)
                     if len(w) <= 64 and len(known) < KEPT_WORDS:
                         known[w] = at
-                if at >= 0:
-                    used.add(at)
+                if at:
+                    used.update(at)
             f = bias + (weight[:, sorted(used)].sum(axis=1) if used else 0)
             out.append(float((1 / (1 + np.exp(-np.clip(f, -30, 30)))).mean()))
         return {"id": batch.column(0), "score": out, "predicted": pa.array([int(x >= 0.5) for x in out], pa.int32())} | {n: batch.column(i + 2) for i, n in enumerate(names)}
