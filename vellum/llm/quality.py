@@ -19,10 +19,10 @@ from .common import map_rows, table, utf8_values
 
 MIN_WORDS, BASE_N, BASE_REPEAT_PERCENT = 20, 8, 30
 #: Largest share of a text's word characters inside repeated n-grams, by n, and inside lines that repeat an earlier one.
-COVERAGE_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+COVERAGE_LIMITS = {3: 0.50, 4: 0.45, 5: 0.32, 6: 0.31, 7: 0.30, 8: 0.30, 9: 0.30, 10: 0.28}
 DUP_LINE_CHARS_LIMIT = 0.30
 #: Largest share of symbols among word characters.
-SYMBOL_LIMIT = 0.10
+SYMBOL_LIMIT = 0.06
 SYMBOLS = b"#*$%&|<>"
 #: Words that one numpy pass takes at most, unless one text alone has more.
 BLOCK_WORDS = 1 << 20
