@@ -1,4 +1,8 @@
 """Queries over the driver's tables and the SQL that says what they return."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import corpus, documents
+
+QUERIES: dict = {**corpus.Q, **documents.Q}
+ORACLES: dict[str, str] = {**corpus.SQL, **documents.SQL}
