@@ -332,3 +332,38 @@ def test_registries(spark):
     finally:
         sources.PARSERS.pop("txt")
         sinks.BINARY.pop("shout")
+
+
+def test_data_source(spark, tmp_path):
+    from vellum.sources import datasource
+
+    datasource.register(spark)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("x,y\n1,2")
+    (tmp_path / "in" / "b.pdf").write_text("broken")
+    df = spark.read.format("vellum").load(str(tmp_path / "in"))
+    assert sorted((r.format, r.error is None) for r in df.collect()) == [("csv", True), ("pdf", False)]
+    df.where("error IS NULL").write.format("vellum").option("format", "xlsx").mode("append").save(str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["a.xlsx"]
+    assert rows(parse("a.xlsx", (tmp_path / "out" / "a.xlsx").read_bytes())) == [["x", "y"], ["1", "2"]]
+    spark.createDataFrame([("p.html", b"<body><h1>T</h1><p>a</p></body>")], "path string, content binary").createOrReplaceTempView("files_in")
+    got = spark.sql("SELECT t.type, t.text FROM files_in, LATERAL parse_document(path, content) t ORDER BY t.element_ix").collect()
+    assert [tuple(r) for r in got] == [("paragraph", "T"), ("paragraph", "a")]
+
+
+def test_json_form(spark):
+    import json
+
+    doc = json.loads(m.to_json(m.documents(spark, [report()])).first().json)
+    assert doc["format"] == "md" and list(doc) == ["format", "title", "metadata", "sections"]
+    first, last = doc["sections"]
+    assert list(first) == ["name", "elements"] and first["elements"][0]["style"]["headingLevel"] == 1 and first["elements"][1]["runs"][0] == {"text": "Chiffre ", "style": None}
+    assert first["elements"][2]["rows"][1]["cells"][1]["text"] == "120000" and first["elements"][2]["rows"][0]["isHeader"] is True and first["elements"][2]["style"] is None
+    assert last["elements"][1] == {"type": "page_break"} and last["elements"][2]["src"] == "/logo.png" and last["elements"][2]["dataSize"] == 0 and "dataUri" not in last["elements"][2]
+
+
+def test_document_thumbnails(spark):
+    from vellum.providers import thumbnails
+
+    got = {r.doc_id: r.thumbnail for r in thumbnails.of_documents(m.documents(spark, [report()])).collect()}
+    assert got["report.md"].mime_type == "image/png"

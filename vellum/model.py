@@ -252,29 +252,40 @@ def pdf_font(style: Column) -> Column:
     return F.when(family.contains("times") | (family == "serif"), times).when(family.contains("courier") | (family == "monospace"), courier).otherwise(slant("Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Helvetica-BoldOblique"))
 
 
+def _camel(struct: Column, names: dict[str, str]) -> Column:
+    return F.when(struct.isNotNull(), F.struct(*[struct[k].alias(v) for k, v in names.items()]))
+
+
+TEXT_NAMES = {"font_family": "fontFamily", "font_size": "fontSize", "color": "color", "bold": "bold", "italic": "italic", "underline": "underline"}
+PARA_NAMES = {"alignment": "alignment", "space_before": "spaceBefore", "space_after": "spaceAfter", "line_spacing": "lineSpacing", "heading_level": "headingLevel"}
+TABLE_NAMES = {"alignment": "alignment", "border_style": "borderStyle", "border_width": "borderWidth", "border_color": "borderColor", "cell_padding": "cellPadding", "header_bg": "headerBg", "striped_bg": "stripedBg"}
+
+
 def to_json(df: DataFrame) -> DataFrame:
-    """(doc_id, json) in the interchange form: defaultTextStyle is not in it, an image's bytes are a data URI."""
-    camel_text = lambda s: F.when(s.isNotNull(), F.struct(s["font_family"].alias("fontFamily"), s["font_size"].alias("fontSize"), s["color"].alias("color"), s["bold"].alias("bold"), s["italic"].alias("italic"), s["underline"].alias("underline")))
-    camel_para = lambda s: F.when(s.isNotNull(), F.struct(s["alignment"].alias("alignment"), s["space_before"].alias("spaceBefore"), s["space_after"].alias("spaceAfter"), s["line_spacing"].alias("lineSpacing"), s["heading_level"].alias("headingLevel")))
-    camel_table = lambda s: F.when(s.isNotNull(), F.struct(s["alignment"].alias("alignment"), s["border_style"].alias("borderStyle"), s["border_width"].alias("borderWidth"), s["border_color"].alias("borderColor"), s["cell_padding"].alias("cellPadding"), s["header_bg"].alias("headerBg"), s["striped_bg"].alias("stripedBg")))
-    of_runs = lambda rs: F.transform(rs, lambda r: F.struct(r["text"].alias("text"), camel_text(r["style"]).alias("style")))
-    of_cell = lambda c: F.struct(c["text"].alias("text"), F.array(F.struct(F.lit("paragraph").alias("type"), c["text"].alias("text"), of_runs(c["runs"]).alias("runs"))).alias("elements"), c["colspan"].alias("colspan"), c["rowspan"].alias("rowspan"))
+    """(doc_id, json) in the interchange form: keys by kind of element, null styles as null, an image's bytes as a data URI;
+    the default style is not in it."""
+    text = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    of_runs = lambda rs: F.transform(rs, lambda r: F.struct(r["text"].alias("text"), _camel(r["style"], TEXT_NAMES).alias("style")))
+    in_cell = lambda c: F.array(F.struct(F.lit("paragraph").alias("type"), c["text"].alias("text"), of_runs(c["runs"]).alias("runs"), F.lit(None).cast("string").alias("style")))
+    of_cell = lambda c: F.struct(c["text"].alias("text"), in_cell(c).alias("elements"), c["colspan"].alias("colspan"), c["rowspan"].alias("rowspan"))
 
     def of_element(e):
-        p, t, i = e["paragraph"], e["table"], e["image"]
-        return F.struct(
-            e["type"].alias("type"),
-            F.when(e["type"] == "paragraph", e["text"]).alias("text"),
-            F.when(p.isNotNull(), of_runs(p["runs"])).alias("runs"),
-            F.when(t.isNotNull(), F.transform(t["rows"], lambda r: F.struct(r["is_header"].alias("isHeader"), F.transform(r["cells"], of_cell).alias("cells")))).alias("rows"),
-            t["column_widths"].alias("columnWidths"),
-            F.when(p.isNotNull(), F.to_json(camel_para(p["style"]))).alias("paragraphStyle"),
-            F.when(t.isNotNull(), F.to_json(camel_table(t["style"]))).alias("tableStyle"),
-            *[i[k].alias(k) for k in ("src", "width", "height", "alt")],
-            i["mime_type"].alias("mimeType"),
-            F.when(i.isNotNull(), data_size(i)).alias("dataSize"),
-            data_uri(i).alias("dataUri"),
+        p, t, i, kind = e["paragraph"], e["table"], e["image"], e["type"].alias("type")
+        rows = F.transform(t["rows"], lambda r: F.struct(r["is_header"].alias("isHeader"), F.transform(r["cells"], of_cell).alias("cells")))
+        image = [kind, *(i[k].alias(k) for k in ("src", "width", "height", "alt")), i["mime_type"].alias("mimeType"), data_size(i).alias("dataSize")]
+        return (
+            F.when(e["type"] == "paragraph", text(kind, e["text"].alias("text"), of_runs(p["runs"]).alias("runs"), _camel(p["style"], PARA_NAMES).alias("style")))
+            .when(e["type"] == "table", text(kind, rows.alias("rows"), t["column_widths"].alias("columnWidths"), _camel(t["style"], TABLE_NAMES).alias("style")))
+            .when((e["type"] == "image") & i["data"].isNotNull(), text(*image, data_uri(i).alias("dataUri")))
+            .when(e["type"] == "image", text(*image))
+            .otherwise(text(kind))
         )
 
-    shaped = F.transform("sections", lambda s: F.struct(s["name"].alias("name"), F.transform(s["elements"], of_element).alias("elements"), F.when(F.size(s["metadata"]) > 0, s["metadata"]).alias("metadata")))
-    return df.select("doc_id", F.to_json(F.struct("format", "title", "metadata", shaped.alias("sections"))).alias("json"))
+    open_object = lambda c: F.regexp_replace(c, r"\}$", "")
+
+    def of_section(s):
+        meta = F.when(F.size(s["metadata"]) > 0, F.concat(F.lit(',"metadata":'), F.to_json(s["metadata"]))).otherwise("")
+        return F.concat(open_object(text(s["name"].alias("name"))), F.lit(',"elements":['), F.array_join(F.transform(s["elements"], of_element), ","), F.lit("]"), meta, F.lit("}"))
+
+    made = F.array_join(F.transform("sections", of_section), ",")
+    return df.select("doc_id", F.concat(open_object(text("format", "title", "metadata")), F.lit(',"sections":['), made, F.lit("]}")).alias("json"))

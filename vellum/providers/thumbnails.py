@@ -234,6 +234,19 @@ def by_ghostscript(data: bytes, timeout: float = 60) -> bytes | None:
         return out.read_bytes() if done.returncode == 0 and out.exists() else None
 
 
+def by_libreoffice(name: str, data: bytes, timeout: float = 120) -> bytes | None:
+    """The first page of an office file as LibreOffice draws it, if it is there."""
+    program = shutil.which("soffice") or shutil.which("libreoffice")
+    if not program:
+        return None
+    with tempfile.TemporaryDirectory() as d:
+        source = Path(d) / f"in.{name.rpartition('.')[2]}"
+        source.write_bytes(data)
+        done = subprocess.run([program, "--headless", f"-env:UserInstallation=file://{d}/profile", "--convert-to", "png", "--outdir", d, str(source)], capture_output=True, timeout=timeout, check=False)
+        out = Path(d) / "in.png"
+        return out.read_bytes() if done.returncode == 0 and out.exists() else None
+
+
 def of_file(name: str, data: bytes, most_width: int = WIDTH, most_height: int = HEIGHT) -> dict | None:
     """A file's thumbnail: an image resized; a PDF's rendered page, largest image or drawn text; a package's own preview;
     else a drawn one."""
@@ -242,7 +255,11 @@ def of_file(name: str, data: bytes, most_width: int = WIDTH, most_height: int =
     extension = name.rpartition(".")[2].lower()
     if mime_of(data).startswith("image/"):
         return resize(data, most_width, most_height)
-    own = (by_ghostscript(data) or largest_embedded(data)) if extension == "pdf" else package_thumbnail(data) if extension in ("docx", "xlsx", "pptx") else None
+    own = None
+    if extension == "pdf":
+        own = by_ghostscript(data) or largest_embedded(data)
+    elif extension in m.OFFICE or extension == "csv":
+        own = (package_thumbnail(data) if extension in ("docx", "xlsx", "pptx") else None) or by_libreoffice(name, data)
     made = resize(own, most_width, most_height) if own else None
     if made:
         return made
@@ -269,5 +286,20 @@ def thumbnails(files: DataFrame, name_col: str = "path", data_col: str = "conten
     return files.select(F.col(name_col).cast("string"), F.col(data_col).cast("binary")).mapInArrow(run, f"doc_id string, thumbnail {THUMBNAIL}")
 
 
+def of_documents(df: DataFrame, most_width: int = WIDTH, most_height: int = HEIGHT) -> DataFrame:
+    """(doc_id, thumbnail) of documents: their first image made small, else a drawn preview."""
+    kind = pa.struct([("data", pa.binary()), ("mime_type", pa.string()), ("width", pa.int32()), ("height", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc = batch.slice(i, 1).to_pylist()[0]
+                pictures = (e["image"]["data"] for s in doc["sections"] or [] for e in s["elements"] or [] if e["type"] == "image" and e["image"]["data"])
+                made = next((x for p in pictures if (x := resize(p, most_width, most_height))), None) or draw(doc, most_width, most_height)
+                yield pa.RecordBatch.from_arrays([pa.array([doc["doc_id"]], pa.string()), pa.array([made], kind)], names=["doc_id", "thumbnail"])
+
+    return df.mapInArrow(run, f"doc_id string, thumbnail {THUMBNAIL}")
+
+
 def data_uri(thumbnail):
     return F.when(thumbnail.isNotNull(), F.concat(F.lit("data:"), thumbnail["mime_type"], F.lit(";base64,"), F.base64(thumbnail["data"])))
