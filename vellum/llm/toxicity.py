@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, utf8_values, worker_cache
+from .common import map_rows, table, utf8_values, worker_cache, written
 
 FOLDS, HELD_OUT = 5, 0
 #: Bounds of the fitting samples.
@@ -51,21 +51,25 @@ def features(text: bytes) -> np.ndarray:
     return np.array(sorted({h for w in set(TOKEN.findall(text.lower())) for h in features_of(w)}), np.int64)
 
 
+def standard_errors(seen, n, seen_other, m):
+    """How many standard errors a feature's share of n texts lies from its share of m others; for numbers and Columns."""
+    common = (seen + seen_other + 1) / (n + m + 2)
+    return (seen / n - seen_other / m) / (common * (1 - common) * (1 / n + 1 / m)) ** 0.5
+
+
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """Features whose share among positives differs from that among unlabelled texts by MIN_Z standard errors."""
     seen = [np.bincount(np.concatenate([*x, np.zeros(0, np.int64)]), minlength=BUCKETS) for x in (positive, unlabelled)]
-    n, m = max(1, len(positive)), max(1, len(unlabelled))
-    common = (seen[0] + seen[1] + 1) / (n + m + 2)
-    z = (seen[0] / n - seen[1] / m) / np.sqrt(common * (1 - common) * (1 / n + 1 / m))
+    z = standard_errors(seen[0], max(1, len(positive)), seen[1], max(1, len(unlabelled)))
     return np.flatnonzero((np.abs(z) >= MIN_Z) & (seen[0] + seen[1] >= MIN_TEXTS))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """(weights over BUCKETS, bias) of one classifier. The samples are lists of feature arrays."""
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, steps: int = STEPS, kept: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """(weights over BUCKETS, bias) of one classifier over the features in kept. The samples are lists of feature arrays."""
     rows = [*positive, *unlabelled]
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     flat = np.concatenate([*rows, np.zeros(0, np.int64)])
-    kept = telling(positive, unlabelled)
+    kept = telling(positive, unlabelled) if kept is None else kept
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(kept.size)
     row_of, column = np.repeat(np.arange(len(rows)), sizes), place[flat]
@@ -103,13 +107,17 @@ def fold(id_col):
     return F.crc32(id_col.cast("string").cast("binary")) % FOLDS
 
 
-def _sampled(df: DataFrame, ids: DataFrame, most: int, id_col: str, text_col: str) -> list[np.ndarray]:
-    """Features of the texts of at most `most` ids, those with the least hashes. Only ids are sorted; of each task the first."""
-    chosen = ids.select("id").distinct().orderBy(F.xxhash64(F.lit(7), F.col("id").cast("string")), "id").limit(most)
-    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(chosen), "id")  # at most `most` ids
-    found = map_rows(docs, lambda b: {"id": b.column(0), "f": pa.array([features(t) for t in utf8_values(b.column(1))], pa.list_(pa.int64()))}, f"id {df.schema[id_col].dataType.simpleString()}, f array<long>")
-    once = found.groupBy("id").agg(F.min("f").alias("f")).toPandas().sort_values("id")  # at most `most` rows
-    return [np.asarray(x, np.int64) for x in once["f"]]
+def _sample(ids: DataFrame, most: int) -> DataFrame:
+    """At most `most` ids, those with the least hashes; each task keeps its first."""
+    return ids.select("id").distinct().orderBy(F.xxhash64(F.lit(7), F.col("id").cast("string")), "id").limit(most)
+
+
+def _hashed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, pos, f): hashed features of the sampled texts, one row an id. ids(id, pos) has at most the bounds' rows."""
+    found = docs.join(F.broadcast(ids), "id")
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = map_rows(found.select("id", "pos", "text"), lambda b: {"id": b.column(0), "pos": b.column(1), "f": pa.array([features(t) for t in utf8_values(b.column(2))], pa.list_(pa.int64()))}, f"id {kind}, pos int, f array<long>")
+    return written(rows.groupBy("id", "pos").agg(F.min("f").alias("f")), "toxic-sample")[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> list[tuple[np.ndarray, float]]:
@@ -117,12 +125,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(toxic_col).cast("int")).alias("toxic")).where(fold(F.col("id")) != HELD_OUT)
     n, toxic = marks.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = min(MOST_PRIOR, max(LEAST_PRIOR, toxic / n if n else 0))
-    positive = _sampled(docs, marks.where("toxic = 1"), max_positive, id_col, text_col) if toxic else []
-    if not positive:
+    if not toxic:
+        return []
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    here = texts.select("id").where(F.col("id").isNotNull() & (fold(F.col("id")) != HELD_OUT))
+    positive = _sample(marks.where("toxic = 1").join(here, "id", "left_semi"), max_positive).withColumn("pos", F.lit(1))
+    sample = _hashed(texts, positive.unionByName(_sample(here, max_unlabelled).withColumn("pos", F.lit(0))))
+    n_pos, n_unl = sample.agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum(1 - F.col("pos")), F.lit(0))).first()
+    if not n_pos or not n_unl:
         return []
-    others = docs.select(docs[id_col].alias("id")).where(F.col("id").isNotNull() & (fold(F.col("id")) != HELD_OUT))
-    unlabelled = _sampled(docs, others, max_unlabelled, id_col, text_col)
-    return [fit_nnpu(positive, unlabelled, prior, seed) for seed in range(MODELS)]
+    # features are counted and chosen before any of them comes to the driver
+    counts = sample.select("pos", F.explode("f").alias("h")).groupBy("h").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("u")).where(F.col("p") + F.col("u") >= MIN_TEXTS)
+    counts = counts.where(F.abs(standard_errors(F.col("p"), n_pos, F.col("u"), n_unl)) >= MIN_Z)
+    kept = np.array(sorted(r.h for r in counts.select("h").collect()), np.int64)  # at most BUCKETS numbers, a few thousand in practice
+    slim = map_rows(sample.select("id", "pos", "f"), lambda b: {"id": b.column(0), "pos": b.column(1), "f": pa.array([np.intersect1d(np.asarray(x, np.int64), kept, True) for x in b.column(2).to_pylist()], pa.list_(pa.int64()))}, f"id {sample.schema['id'].dataType.simpleString()}, pos int, f array<long>")
+    rows = slim.orderBy("pos", "id").toPandas()  # at most max_positive + max_unlabelled rows
+    split = lambda pos: [np.asarray(x, np.int64) for x in rows["f"][rows["pos"] == pos]]
+    return [fit_nnpu(split(1), split(0), prior, seed, kept=kept) for seed in range(MODELS)]
 
 
 def score(docs: DataFrame, models: list[tuple[np.ndarray, float]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
