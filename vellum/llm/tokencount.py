@@ -19,7 +19,9 @@ empty table gives an empty result; other input columns are not touched.
 from __future__ import annotations
 
 import json
+from array import array
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -27,14 +29,12 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, table, worker_cache
 
-#: The library's cut (the byte-level pre-tokenizer's pattern, fixed).
-CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same, with each longer run of white space joined with the piece after it.
+#: The byte-level pre-tokenizer's pattern (fixed), but with each longer run of white space joined with the piece after it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s{2,}(?:(?<! )(?:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+"
 RUN = r"\s{2,}"
 LIMIT = 1024
 #: Pieces that a worker keeps; older ones go first.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 600_000
 
 
 class PrefixCounter:
@@ -59,9 +59,13 @@ class PrefixCounter:
             self.halves.append(p)
             self.pair.setdefault(p, r)
             self.rank.setdefault(x + y, r)
-        self.longest = max(map(len, self.rank))
+        #: All tokens that end at a byte, found in one pass; bytes as Latin-1 characters.
+        self.tokens = ahocorasick.Automaton()
+        for token, r in self.rank.items():
+            self.tokens.add_word(token.decode("latin-1"), (len(token), r))
+        self.tokens.make_automaton()
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"] or t["content"]]
-        self.pieces, self.cut, self.run_of_space = regex.compile(PIECES), regex.compile(CUT), regex.compile(RUN)
+        self.pieces, self.run_of_space = regex.compile(PIECES), regex.compile(RUN)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -100,20 +104,19 @@ class PrefixCounter:
 
     def run(self, piece: bytes) -> list[int]:
         """Tokens of each byte prefix of one pre-tokenizer piece, from the empty one on."""
-        rank, may, longest = self.rank, self.may_follow, self.longest
-        count, last = [0], [-1]
-        for i in range(1, len(piece) + 1):
-            for a in range(max(0, i - longest), i):
-                t = rank.get(piece[a:i])
-                if t is not None and (a == 0 or may(last[a], t)):
-                    count.append(count[a] + 1)
-                    last.append(t)
-                    break
+        may = self.may_follow
+        count, last = [0] * (len(piece) + 1), [-1] * (len(piece) + 1)
+        for end, (size, token) in self.tokens.iter(piece.decode("latin-1")):
+            end += 1
+            if last[end] < 0:
+                at = end - size
+                if not at or may(last[at], token):
+                    count[end], last[end] = count[at] + 1, token
         return count
 
     def of_piece(self, piece: str) -> bytes:
         """Differences of the counts at the piece's characters, as 16-bit numbers."""
-        run = self.run_of_space.match(piece)
+        run = self.run_of_space.match(piece) if piece[:1].isspace() else None
         if run:
             space, rest = piece[: run.end()], piece[run.end() :]
             counts = self._at_characters(space)
@@ -125,16 +128,18 @@ class PrefixCounter:
                     base += self._at_characters(space[-1])[0]
                     counts += [base + c for c in self._at_characters(rest)]
         else:
-            counts = []
-            for part in self.cut.findall(piece):
-                counts += [(counts[-1] if counts else 0) + c for c in self._at_characters(part)]
-        return np.diff(np.array([0, *counts], np.int64)).astype(np.int16).tobytes()
+            counts = self._at_characters(piece)
+        return array("h", [b - a for a, b in zip([0, *counts], counts)]).tobytes()
 
     def _at_characters(self, piece: str) -> list[int]:
-        counts = self.run(piece.encode())
+        """Counts at the characters of one piece of the library's cut."""
+        raw = piece.encode()
+        counts = self.run(raw)
+        if len(raw) == len(piece):
+            return counts[1:]
         at, out = 0, []
         for c in piece:
-            at += 1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4
+            at += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
             out.append(counts[at])
         return out
 
