@@ -10,8 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import QUERIES, license, linededup, media, mixing, packing, quality, simhash, tokencount, toxicity, urlfilter
-from vellum.llm.common import fresh, written
+from vellum.llm import ORACLES, QUERIES, license, linededup, media, mixing, packing, quality, simhash, tokencount, toxicity, urlfilter
+from vellum.llm.common import clear_scratch, fresh, shared_dir, written
 
 ODD = [(1, "a b\nc"), (2, None), (3, ""), (4, " \n\t "), (5, "a b\nc"), (5, "a b\nc"), (None, "x # y"), (7, "word " * 40_000), (8, "é" * 5000), (9, "Don't  stop\n\n now<|endoftext|>ok 日本 \U0001f600")]
 
@@ -455,3 +455,41 @@ def test_quality_weighs_the_sample(spark):
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     mean = lambda lo, hi: np.mean([r.copies for r in got if lo <= r.doc_id < hi])
     assert mean(0, 2000) >= mean(5000, 7000)
+
+
+# Shared storage
+
+
+def test_scratch_is_named_by_the_session_and_cleared(spark, odd):
+    import os
+
+    assert shared_dir(spark).removeprefix("file://").startswith("/tmp/checkpoints")
+    table, path = written(odd, "scratch")
+    assert table.count() == odd.count() and os.path.isdir(path.removeprefix("file://"))
+    clear_scratch(spark)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+class Named:
+    """A session whose cluster names the shared folder."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: {"spark.checkpoint.dir": "hdfs://shared/folder"}.get(key, default))
+
+
+def test_shared_folder_is_the_clusters():
+    assert shared_dir(Named) == "hdfs://shared/folder"
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_queries_against_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
+    cur = con.execute(ORACLES[name])
+    columns = [x[0] for x in cur.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(repr, cur.fetchall()))

@@ -27,9 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_SHARED}/{spark.sparkContext.applicationId}"
 
 
+#: Paths that operators have made in the shared folder, by application.
+SCRATCH: dict[str, list[str]] = {}
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in the shared folder, which clear_scratch removes."""
+    path = posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes what operators have left in the shared folder; to be called when their results are stored elsewhere."""
+    paths = SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:

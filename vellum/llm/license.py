@@ -123,3 +123,40 @@ def corpus_path() -> Column:
 
 def op6_license_scan(spark, sf_dir) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), corpus_path())
+
+
+def oracle_sql(templates=TEMPLATES) -> str:
+    """The corpus query in DuckDB SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quote(name)}, {quote(s)})" for k, (name, s) in enumerate((n, s) for n, many in templates.items() for s in many))
+    low = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    toks = lambda c: f"list_filter(regexp_split_to_array({low(c)}, '[^a-z0-9]+'), lambda w: w <> '')"
+    anchor = "(?i)\\b(" + "|".join(ANCHORS) + ")\\b"
+    n_words = lambda c: f"len(regexp_extract_all({c}, '[^\\x20\\x09-\\x0D]+'))"
+    return f"""
+WITH RECURSIVE t(number, license, sentence) AS (VALUES {rows}),
+tt AS (SELECT number, license, term, count(*) AS tf FROM (SELECT number, license, unnest({toks('sentence')}) AS term FROM t) GROUP BY ALL),
+vocabulary AS (SELECT DISTINCT term FROM tt),
+f AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || (doc_id // 100) || '/doc' || doc_id || '.txt' AS path, text, {n_words('text')} AS words FROM documents),
+n AS (SELECT count(*) AS n FROM f),
+df AS (SELECT term, count(*) AS c FROM (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({toks('text')}) AS term FROM f)) JOIN vocabulary USING (term) GROUP BY term),
+idf AS (SELECT term, ln((n.n + 1) / (coalesce(c, 0) + 1)::DOUBLE) + 1 AS w FROM vocabulary LEFT JOIN df USING (term), n),
+tw AS (SELECT number, license, term, tf * w AS x FROM tt JOIN idf USING (term)),
+tn AS (SELECT number, sqrt(sum(x * x)) AS norm FROM tw GROUP BY number),
+made AS (SELECT DISTINCT doc_id, words, s FROM (SELECT doc_id, words, unnest(regexp_split_to_array(regexp_replace(text, '([.;!?])[ \\t]+', '\\1' || chr(10), 'g'), '\\n')) AS s FROM f) WHERE regexp_matches(s, '{anchor}')),
+st AS (SELECT s, term, count(*) AS tf FROM (SELECT s, unnest({toks('s')}) AS term FROM (SELECT DISTINCT s FROM made)) GROUP BY ALL),
+sw AS (SELECT s, st.term, tf * coalesce(w, ln(n.n + 1) + 1) AS x FROM st LEFT JOIN idf ON idf.term = st.term, n),
+sn AS (SELECT s, sqrt(sum(x * x)) AS norm FROM sw GROUP BY s),
+cosine AS (SELECT sw.s, tw.license, round(sum(sw.x * tw.x) / any_value(tn.norm) / any_value(sn.norm), 6) AS score
+           FROM sw JOIN tw ON tw.term = sw.term JOIN tn ON tn.number = tw.number JOIN sn ON sn.s = sw.s GROUP BY sw.s, tw.number, tw.license),
+best AS (SELECT s, license, score FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, license) AS r FROM cosine WHERE score >= {MIN_COSINE}) WHERE r = 1),
+hits AS (SELECT doc_id, words, license, score, {n_words('made.s')} AS n FROM made JOIN best ON best.s = made.s),
+own AS (SELECT doc_id, min({{'minus': -score, 'license': license}}) AS b, sum(n) / max(words) AS share FROM hits GROUP BY doc_id),
+found AS (SELECT f.doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, own.b.license AS license, -own.b.minus AS score, share FROM f LEFT JOIN own ON own.doc_id = f.doc_id),
+licensed AS (SELECT dir, min({{'minus': -share, 'path': path, 'license': license, 'score': score}}) AS b FROM found WHERE license IS NOT NULL AND share >= {LICENSE_SHARE} GROUP BY dir),
+up(dir, above, steps) AS (SELECT DISTINCT dir, dir, 0 FROM found WHERE license IS NULL
+  UNION ALL SELECT dir, CASE WHEN above LIKE '%/%' THEN regexp_replace(above, '/[^/]*$', '') ELSE '' END, steps + 1 FROM up WHERE above <> ''),
+near AS (SELECT dir, b FROM (SELECT up.dir, licensed.b, row_number() OVER (PARTITION BY up.dir ORDER BY steps) AS r FROM up JOIN licensed ON licensed.dir = up.above) WHERE r = 1)
+SELECT doc_id, path, license, score, 'own' AS origin, path AS license_path FROM found WHERE license IS NOT NULL
+UNION ALL
+SELECT doc_id, path, near.b.license, near.b.score, CASE WHEN near.b IS NULL THEN 'none' ELSE 'inherited' END, near.b.path FROM found LEFT JOIN near ON near.dir = found.dir WHERE license IS NULL"""

@@ -152,3 +152,35 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op9_repetition_rules(spark, sf_dir) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB SQL: every n-gram as a row, which only small tables bear."""
+    limits = sorted(COVERAGE_LIMITS)
+    lengths = ", ".join(map(str, limits))
+    split = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+    bare = r"regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')"
+    symbols = "[" + SYMBOLS.decode() + "]"
+    coverage = ",\n  ".join(f"coalesce(max(c.chars) FILTER (c.n = {n}), 0) / greatest(1, any_value(m.word_chars))::DOUBLE AS coverage_{n}" for n in limits)
+    good = " AND ".join(f"coalesce(max(c.chars) FILTER (c.n = {n}), 0) <= {x} * any_value(m.word_chars)" for n, x in COVERAGE_LIMITS.items())
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {split} AS ws FROM documents),
+g AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g
+      FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT unnest([{lengths}]) AS n) WHERE len(ws) >= n)),
+twice AS (SELECT doc_id, n, i FROM (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, g) AS k FROM g) WHERE k > 1),
+covered AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS j FROM twice),
+c AS (SELECT covered.doc_id, n, count(*) AS words, sum(length(ws[j])) AS chars FROM covered JOIN d ON d.doc_id = covered.doc_id GROUP BY ALL),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k
+      FROM (SELECT doc_id, ls[i] AS line, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)))),
+dup AS (SELECT doc_id, count(*) AS lines, sum(length({bare})) AS chars FROM l WHERE k > 1 AND {bare} <> '' GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(text, '{symbols}')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(dup.chars, 0) AS BIGINT) AS dup_line_chars
+      FROM d LEFT JOIN dup ON dup.doc_id = d.doc_id),
+r AS (SELECT m.doc_id, any_value(m.n_words) AS n_words, any_value(m.word_chars) AS word_chars, any_value(m.n_symbols) AS n_symbols, any_value(m.n_dup_lines) AS n_dup_lines,
+        any_value(m.dup_line_chars) AS dup_line_chars, CAST(coalesce(max(c.words) FILTER (c.n = {BASE_N}), 0) AS BIGINT) AS n_repeat_words,
+        {good} AS good,
+  {coverage}
+      FROM m LEFT JOIN c ON c.doc_id = m.doc_id GROUP BY m.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words) AND good AND dup_line_chars <= {DUP_LINE_CHARS_LIMIT} * word_chars AND n_symbols <= {SYMBOL_LIMIT} * word_chars AS kept,
+  dup_line_chars, {", ".join(f"coverage_{n}" for n in limits)} FROM r"""
