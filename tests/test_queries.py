@@ -35,13 +35,5 @@ def test_query(spark, sf, duck, name):
         assert rows == sorted((tuple(norm(r[i]) for i in at) for r in cur.fetchall()), key=repr)
 
 
-def test_url_rules_against_sql(spark, sf, duck):
-    sql = entry.oracle_sql().get("op3_url_shift_and")
-    if sql is None:
-        pytest.skip("the training-data operators are not there")
-    got = sorted(map(tuple, entry.queries()["op3_url_shift_and"](spark, sf).select("page_id", "host", "path", "rule", "verdict").collect()))
-    assert got == sorted(duck.execute(sql).fetchall())
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
