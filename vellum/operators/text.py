@@ -266,15 +266,25 @@ def entities_of(text, kind: str, pattern: str, normal=None) -> Column:
     return F.transform(matches(text, pattern), lambda m: F.struct(F.lit(kind).alias("type"), m.alias("raw"), (normal(m) if normal else m).alias("value")))
 
 
+def _entity(kind: str):
+    return lambda raw, value: F.struct(F.lit(kind).alias("type"), raw.alias("raw"), value.alias("value"))
+
+
 def with_entities(df, text_col: str = "text", rules=ENTITY_RULES, custom=(), into: str = "entities"):
     """df with the text rewritten by all rules in order and a column of the entities found.
 
     One projection for each rule, so that no rule's pattern runs inside the next one's expression.
     """
     df = df.withColumn(into, F.array().cast("array<struct<type:string,raw:string,value:string>>"))
+    text = F.col(text_col)
     for _, kind, pattern, normal in (*rules, *custom):
-        df = df.withColumn("_v_found", entities_of(F.col(text_col), kind, pattern, normal))
-        df = df.withColumns({into: F.concat(into, "_v_found"), text_col: replace_each(F.col(text_col), pattern, normal) if normal else F.col(text_col)}).drop("_v_found")
+        # each pattern is searched once; most texts have no match and pass as they are
+        df = df.withColumn("_v_met", matches(text, pattern))
+        values = F.transform("_v_met", normal) if normal else F.col("_v_met")
+        found = F.zip_with("_v_met", values, _entity(kind))
+        gaps, values = F.split(text, pattern, -1), F.concat(values, F.array(F.lit("")))
+        new = F.when(F.size("_v_met") == 0, text).otherwise(F.array_join(F.zip_with(gaps, values, lambda g, x: F.concat(g, x)), ""))
+        df = df.withColumns({into: F.concat(into, found)} | ({text_col: new} if normal else {})).drop("_v_met")
     return df
 
 
