@@ -92,17 +92,21 @@ class NgramModel:
         return NgramModel(merge_counts(self.unigrams, other.unigrams), merge_counts(self.bigrams, other.bigrams, ("w1", "w2")))
 
     def stats(self) -> DataFrame:
-        u = self.unigrams.agg(F.count("*").alias("unique_unigrams"), F.coalesce(F.sum("freq"), F.lit(0)).alias("total_unigrams"))
-        b = self.bigrams.agg(F.count("*").alias("unique_bigrams"), F.coalesce(F.sum("freq"), F.lit(0)).alias("total_bigrams"))
-        return u.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").select("unique_unigrams", "unique_bigrams", "total_unigrams", "total_bigrams")
+        """Distinct and total counts, in one row."""
+        zero = F.lit(0).cast("long")
+        count = lambda df, one: df.agg(F.count("*").alias("n"), F.coalesce(F.sum("freq"), zero).alias("m")).select(*((F.col("n"), zero, F.col("m"), zero) if one else (zero, F.col("n"), zero, F.col("m"))))
+        names = ("unique_unigrams", "unique_bigrams", "total_unigrams", "total_bigrams")
+        return count(self.unigrams, True).union(count(self.bigrams, False)).toDF(*names).agg(*[F.sum(n).alias(n) for n in names])
+
+    def total(self):
+        """All unigram occurrences, as a scalar subquery."""
+        return self.unigrams.agg(F.coalesce(F.sum("freq"), F.lit(0))).scalar()
 
     def score_words(self, words: DataFrame, word: str = "word") -> DataFrame:
-        """words with `score`, the word's share of all; 0 if unknown. The total is one row, joined by a constant key."""
+        """words with `score`, the word's share of all occurrences; 0 if unknown."""
         counts = self.unigrams.select(F.col("word").alias("_w"), F.col("freq").alias("_n"))
-        total = self.unigrams.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("_all")).withColumn("_k", F.lit(1))
-        out = words.withColumn("_low", F.lower(word)).withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").join(counts, F.col("_low") == F.col("_w"), "left")
-        score = F.when(F.col("_all") == 0, 0.0).otherwise(F.coalesce("_n", F.lit(0)) / F.greatest("_all", F.lit(1)))
-        return out.select(*words.columns, score.alias("score"))
+        out = words.withColumn("_low", F.lower(word)).join(counts, F.col("_low") == F.col("_w"), "left")
+        return out.select(*words.columns, (F.coalesce("_n", F.lit(0)) / F.greatest(self.total(), F.lit(1))).alias("score"))
 
     def score_bigrams(self, pairs: DataFrame, w1: str = "w1", w2: str = "w2") -> DataFrame:
         """pairs with `score`, the share of w1's occurrences that w2 follows; 0 if unknown."""
