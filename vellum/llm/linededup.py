@@ -46,7 +46,8 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, th and runs (array of struct<first, last> line numbers, both included) of each document with later repeats."""
     lines, _ = written(line_table(df, id_col, text_col, window, min_words), "lines")
     chosen = lines.where("sel")
-    first = chosen.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("f.id").alias("fid"), F.col("f.th").alias("fth"), F.col("f.n").alias("fn"))
+    # a table of its own, so that the join's sides are dealt out by the join alone and Spark can split a common line's part
+    first, _ = written(chosen.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("f.id").alias("fid"), F.col("f.th").alias("fth"), F.col("f.n").alias("fn")), "first-lines")
     met = chosen.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     met = met.where(~(F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")) & (F.col("n") == F.col("fn"))))
     anchors, _ = written(met.select("id", "th", "n", "fid", "fth", "fn"), "anchors")
