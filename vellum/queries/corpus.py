@@ -136,7 +136,35 @@ def natural_word_stats(spark, sf_dir):
     return words.select("word", text.natural_word(F.col("word")).alias("natural"))
 
 
-@query()
+#: DuckDB: whether a word looks natural, from its lower-case form.
+NATURAL = f"""(CASE WHEN length(w) < 3 THEN true
+  WHEN len(regexp_extract_all(w, '{V}')) + len(regexp_extract_all(w, '{K}')) = 0 THEN false
+  WHEN len(regexp_extract_all(w, '{V}')) = 0 OR len(regexp_extract_all(w, '{K}')) = 0 THEN length(w) <= 3
+  ELSE len(regexp_extract_all(w, '{V}')) / (len(regexp_extract_all(w, '{V}')) + len(regexp_extract_all(w, '{K}')))::DOUBLE BETWEEN 0.10 AND 0.90
+    AND (length(w) < 4 OR len(list_distinct(string_split(w, ''))) / length(w)::DOUBLE >= 0.40)
+    AND len(list_filter(range(1, length(w) - 1), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2])) = 0 END)"""
+THRICE = "len(list_filter(range(1, length({0}) - 1), lambda i: ({0})[i] = ({0})[i + 1] AND ({0})[i] = ({0})[i + 2])) > 0"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_ix, trim(ls[i], ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS line
+           FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+m AS (SELECT *, regexp_replace(line, '[^\\p{{L}}]', '', 'g') AS ls, regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+') AS ws FROM l WHERE line <> ''),
+n AS (SELECT *, lower(ls) AS low, length(ls) AS k, length(line) AS len, len(ws) AS nw, len(regexp_extract_all(line, '[|()\\[\\]<>{{}}+=&#@*^~\\\\]')) AS symbols,
+        list_filter(list_transform(ws, lambda x: regexp_replace(x, '[^\\p{{L}}]', '', 'g')), lambda x: length(x) >= 3) AS checked FROM m),
+g AS (SELECT doc_id, line_ix, count(*) FILTER (good) AS good, count(*) AS c FROM (SELECT doc_id, line_ix, {NATURAL} AS good FROM (SELECT doc_id, line_ix, lower(unnest(checked)) AS w FROM n)) GROUP BY ALL)
+SELECT n.doc_id, n.line_ix, n.line, CASE
+  WHEN k <= 2 OR len < 8 OR k / greatest(1, length(regexp_replace(line, '\\s', '', 'g')))::DOUBLE < 0.4 THEN true
+  WHEN k BETWEEN 5 AND 30 AND (len(list_distinct(string_split(low, ''))) / length(low)::DOUBLE < 0.40
+       OR (len(list_distinct(string_split(low, ''))) / length(low)::DOUBLE < 0.50 AND {THRICE.format('low')})) THEN true
+  WHEN NOT regexp_matches(line, '\\p{{L}}{{3,}}') THEN true
+  WHEN (symbols >= 2 AND len < 40) OR symbols >= 3 THEN true
+  WHEN len < 30 AND nw <= 5 AND regexp_matches(line, '\\p{{L}}[)\\]]') THEN true
+  WHEN nw >= 4 AND len(list_filter(ws, lambda x: length(x) = 1)) / nw::DOUBLE > 0.4 THEN true
+  WHEN len < 25 AND (coalesce(c, 0) = 0 OR (len < 15 AND good < c) OR (len >= 15 AND good = 0)) THEN true
+  WHEN nw >= 4 AND len < 50 THEN coalesce(c, 0) >= 3 AND (c - good) / c::DOUBLE > 0.5
+  ELSE false END AS noise
+FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.line_ix = n.line_ix""")
 def noise_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_ix", "line")).withColumn("line", trim("line")).where("line <> ''")
     return lines.withColumn("noise", text.is_noise_line(F.col("line")))
@@ -147,7 +175,26 @@ def clean_noise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_ocr_noise(F.col("text")).alias("text"))
 
 
-@query()
+def _replaced(c: str, pairs) -> str:
+    for a, b in pairs:
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+PLAIN = [x for x in text.WORD_SUBSTITUTIONS if not any(ch.isdigit() for ch in x[0])]
+NUMERIC = [x for x in text.WORD_SUBSTITUTIONS if x not in PLAIN]
+BARS = r"regexp_replace({0}, '(\p{{L}})\|(\p{{L}})', '\1l\2', 'g')"
+LIGATURES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(^|\\PL)ﬁ', '\\1fi', 'g'), '(^|\\PL)ﬂ', '\\1fl', 'g'), '(^|\\PL)ﬀ', '\\1ff', 'g'), '(^|\\PL)ﬃ', '\\1ffi', 'g'), '(^|\\PL)ﬄ', '\\1ffl', 'g')"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {BARS.format(BARS.format(LIGATURES))} AS text FROM documents),
+p AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS toks, regexp_split_to_array(text, '\\S+') AS gaps FROM t),
+u AS (SELECT doc_id, i, gaps[i] AS gap, toks[i] AS tok, length(regexp_replace(toks[i], '[^\\p{{L}}]', '', 'g')) AS n, length(regexp_replace(toks[i], '[^0-9]', '', 'g')) AS d
+      FROM (SELECT *, unnest(range(1, len(gaps) + 1)) AS i FROM p)),
+v AS (SELECT doc_id, i, gap, n, CASE WHEN d > n THEN {_replaced('tok', text.DIGIT_SUBSTITUTIONS)} WHEN n > d AND d > 0 THEN {_replaced('tok', NUMERIC)} ELSE tok END AS tok FROM u),
+w AS (SELECT doc_id, i, gap, CASE WHEN n >= 3 THEN {_replaced('tok', PLAIN)} ELSE tok END AS tok FROM v)
+SELECT doc_id, string_agg(gap || coalesce(tok, ''), '' ORDER BY i) AS text FROM w GROUP BY doc_id""")
 def confusion_fix(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.fix_confusions(F.col("text")).alias("text"))
 
@@ -208,14 +255,35 @@ def line_classes(spark, sf_dir):
     return lines.groupBy("doc_id", text.line_class(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
+#: DuckDB: trimmed lines with their class, their heading's level and the class of the line before.
+CLASSED = f"""
+l AS (SELECT doc_id, i AS line_ix, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+t AS (SELECT doc_id, line_ix, {TRIMMED} AS line, regexp_replace({TRIMMED}, '[^\\p{{L}}]', '', 'g') AS ls FROM l),
+h AS (SELECT *, CASE WHEN length(ls) >= 4 AND length(line) <= 50 AND NOT regexp_matches(line, '[0-9]{{2,}}') AND NOT regexp_matches(line, ':\\s+') AND upper(ls) = ls
+       AND len(regexp_split_to_array(line, '\\s+')) >= 2 THEN CASE WHEN length(line) <= 30 THEN 2 ELSE 3 END ELSE 0 END AS level FROM t),
+k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN level > 0 THEN 'heading'
+  WHEN regexp_matches(line, '^(?:(?:[0-9]{{1,3}}|[a-zA-Z])[.)\\-]|[\\-*•–])\\s+.+$') THEN 'list'
+  WHEN regexp_matches(regexp_replace(line, '\\s', '', 'g'), '^[\\-=_*]{{3,}}$') THEN 'separator' ELSE 'paragraph' END AS kind FROM h),
+c AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_ix) AS before FROM k)"""
+TITLE = "array_to_string(list_transform(string_split(lower(line), ' '), lambda w, i: CASE WHEN i = 1 OR length(w) > 3 THEN upper(substr(w, 1, 1)) || substr(w, 2) ELSE w END), ' ')"
+
+
+@query(f"""WITH {CLASSED},
+e AS (SELECT doc_id, line_ix, CASE WHEN kind = 'paragraph' AND before = 'paragraph' THEN chr(10) ELSE chr(10) || chr(10) END
+  || CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || {TITLE} WHEN 'separator' THEN '---' ELSE line END AS part FROM c WHERE kind <> 'blank')
+SELECT d.doc_id, coalesce(ltrim(string_agg(part, '' ORDER BY line_ix), chr(10)), '') AS markdown FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id GROUP BY d.doc_id""")
 def structure_markdown(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.structured(F.col("text")).alias("markdown"))
 
 
-@query()
+@query(f"""WITH {CLASSED},
+s AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_ix) AS shown FROM c WHERE kind <> 'blank'),
+b AS (SELECT *, sum(CASE WHEN kind = 'paragraph' AND before = 'paragraph' OR kind = 'list' AND shown = 'list' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_ix) - 1 AS block_ix FROM s)
+SELECT doc_id, CAST(block_ix AS BIGINT) AS block_ix, any_value(kind) AS type, max(level) AS level, CASE WHEN any_value(kind) = 'separator' THEN '' ELSE string_agg(line, chr(10) ORDER BY line_ix) END AS lines
+FROM b GROUP BY doc_id, block_ix""")
 def structure_blocks(spark, sf_dir):
-    return text.structure_blocks(table(spark, sf_dir, "documents"), "doc_id")
+    blocks = text.structure_blocks(table(spark, sf_dir, "documents"), "doc_id")
+    return blocks.withColumn("lines", F.array_join("lines", "\n"))
 
 
 @query(f"""
