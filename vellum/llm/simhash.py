@@ -15,6 +15,8 @@ component's id unless all its ids are null; an empty table gives an empty result
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -84,46 +86,60 @@ def ball(bits: int, half: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def meet(keys: DataFrame, radius: int, bits: int = BITS, by: tuple[str, ...] = ()) -> DataFrame:
+def meet(keys: DataFrame, radius: int, bits: int = BITS) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints `fp` of keys, a < b, that differ in at most radius bits.
 
-    Not all pairs of a component, but a set that connects it. `by`: further columns that must agree (a family's number).
+    Not all pairs of a component, but a set that connects it.
     """
     if radius % 2:
         raise ValueError("an even radius: half of it is emitted by either side")
     masks = F.array(*[F.lit(m).cast("long") for m in ball(bits, radius // 2)])
-    emitted = keys.select(*by, "fp", F.explode(masks).alias("_mask")).select(*by, "fp", F.col("fp").bitwiseXOR(F.col("_mask")).alias("_at"))
-    spot = W.partitionBy(*by, "_at").orderBy("fp")
-    found = emitted.select(*by, "fp", F.lag("fp").over(spot).alias("_before"), F.first("fp").over(spot).alias("_first"))
-    pairs = found.where("_before IS NOT NULL").select(*by, F.explode(F.array_distinct(F.array("_before", "_first"))).alias("a"), F.col("fp").alias("b"))
+    emitted = keys.select("fp", F.explode(masks).alias("_mask")).select("fp", F.col("fp").bitwiseXOR(F.col("_mask")).alias("_at"))
+    spot = W.partitionBy("_at").orderBy("fp")
+    found = emitted.select("fp", F.lag("fp").over(spot).alias("_before"), F.first("fp").over(spot).alias("_first"))
+    pairs = found.where("_before IS NOT NULL").select(F.explode(F.array_distinct(F.array("_before", "_first"))).alias("a"), F.col("fp").alias("b"))
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the component's smallest node.
 
-    Large-star, then small-star, until nothing changes; each round's pairs are a table in the shared folder. A hub's pairs
-    are joined with its minimum, a join whose large partitions Spark splits; nothing gathers a hub's neighbours.
+    Large-star, then small-star rounds, until all pairs are stars. Minima and pairs are tables in the shared folder: a lost
+    executor costs a task, and a hub's pairs are joined with its minimum by a join whose sides are dealt out by itself
+    alone, so Spark can split a hub that holds a large part of all pairs. Nothing gathers a hub's neighbours.
     """
     spark = edges.sparkSession
-    kind = edges.schema["a"].dataType.simpleString()
-    now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    paths: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        table, path = written(df, "pairs")
+        paths.append(path)
+        return table
+
+    def with_least(pairs: DataFrame, also_itself: bool) -> DataFrame:
+        """pairs with m, the least b of each a (or a itself, if that is less)."""
+        low = pairs.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
+        low = kept(low.select("k", F.least("k", "m").alias("m")) if also_itself else low)
+        return pairs.join(low, F.col("a") == F.col("k")).drop("k")
+
+    def down(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a <> b").distinct()
+
+    now = kept(down(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
-        new, new_path = written(small.distinct(), "edges")
-        remove(spark, path)
-        now, path = new, new_path
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == state or row[0] == 0:
+        large = kept(down(with_least(both, True).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
+        least = with_least(large, False)
+        small = least.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        before, paths = paths, []
+        now = kept(down(small))
+        for path in before:
+            remove(spark, path)
+        several = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        if not several.unionByName(now.select("a").join(now.select(F.col("b").alias("a")), "a", "left_semi")).limit(1).count():
             break
-        state = tuple(row)
-    roots = now.groupBy("b").count().select(F.col("b").alias("node"), F.col("b").alias("root"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots).select(F.col("node").cast(kind), F.col("root").cast(kind))
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -144,7 +160,38 @@ def op7_simhash_ball(spark, sf_dir) -> DataFrame:
 
 # Near-copies by similarity of word shingles: several shorter fingerprints, every candidate pair verified on its texts.
 
-FAMILIES, SHORT_BITS, WIDTH, SIMILARITY = 8, 32, 5, 0.8
+FAMILIES, SHORT_BITS, WIDTH, SIMILARITY = 14, 30, 5, 0.8
+#: In a packed fingerprint the lowest six bits tell which bit is flipped; this value: none.
+UNFLIPPED = 63
+
+
+def packed(family, fp):
+    """Family, short fingerprint and UNFLIPPED in one number."""
+    return F.shiftleft(family.cast("long"), SHORT_BITS + 6).bitwiseOR(F.shiftleft(fp, 6)).bitwiseOR(F.lit(UNFLIPPED))
+
+
+def meet_packed(keys: DataFrame) -> DataFrame:
+    """As meet, for packed fingerprints `x` and radius 2: pairs (a, b), a < b, of one family that differ in at most two bits.
+
+    Of each fingerprint the pairs with the least and with the greatest of those it meets, at most two however large its
+    group is; families order a group differently, so together they connect it. A variant is one number, the flipped value
+    and which bit is flipped, so a row of the shuffle is little more than that.
+    """
+    masks = [0] + [(1 << j + 6) ^ UNFLIPPED ^ j for j in range(SHORT_BITS)]
+    emitted = keys.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("_mask"), "x").select(F.col("x").bitwiseXOR(F.col("_mask")).alias("v"))
+    emitted = emitted.withColumn("_at", F.col("v").bitwiseAND(F.lit(-64).cast("long")))
+    x = F.expr(f"CASE WHEN v & 63 = {UNFLIPPED} THEN v ELSE v ^ shiftleft(1L, CAST(v & 63 AS INT) + 6) ^ ({UNFLIPPED}L ^ (v & 63)) END")
+    spot = W.partitionBy("_at")
+    met = emitted.withColumn("n", F.count("*").over(spot)).withColumn("x", x).withColumn("lo", F.min("x").over(spot)).withColumn("hi", F.max("x").over(spot)).where("n > 1")
+    ends = met.groupBy("x").agg(F.min(F.when(F.col("lo") != F.col("x"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("hi") != F.col("x"), F.col("hi"))).alias("hi"))
+    pairs = ends.select("x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("u")).where("u IS NOT NULL")
+    return pairs.select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct()
+
+
+def most_differing(bits: int, least: float) -> int:
+    """Differing bits that two texts of similarity `least` exceed once in 30,000 pairs."""
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    return math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
 
 
 def shingle_set(text: bytes, width: int) -> set[bytes]:
@@ -164,26 +211,32 @@ def text_key(text):
     return F.md5(F.when(F.btrim(whole, F.lit(" \t\n\x0b\x0c\r")) == "", "").otherwise(whole))
 
 
-def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY, radius: int = 2, families: int = FAMILIES) -> DataFrame:
+def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY, families: int = FAMILIES) -> DataFrame:
     """(key, root) of distinct texts: key is the text's md5, root that of its group (only texts linked to another).
 
     Two texts of similarity 0.8 differ in about 10 of 64 bits, beyond any ball that can be emitted. So each text has
-    `families` fingerprints of 32 bits; texts that meet in any family within the radius are candidates, and a pair links if
-    the similarity of its word shingles is at least `least`.
+    `families` fingerprints of 30 bits; texts that meet in any family within two bits are candidates. A pair links if the
+    similarity of its word shingles is at least `least`; pairs whose fingerprints differ too much in all are not asked.
     """
+    wide = -(-families // 2)
     own = df.select(text_key(df[text_col]).alias("key"), df[text_col].alias("text"))
-    prints = fingerprints(own, "key", "text", width, -(-families // 2)).groupBy("key").agg(F.min("fp").alias("fp"))
-    halves = [x for k in range(-(-families // 2)) for x in (F.col("fp")[k].bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col("fp")[k], 32))][:families]
-    prints, _ = written(prints.select("key", F.posexplode(F.array(*halves)).alias("family", "fp")), "family-prints")
-    spot, same = W.partitionBy("family", "fp").orderBy("key"), prints.groupBy("family", "fp").agg(F.min("key").alias("low"))
-    equal = prints.select("key", F.lag("key").over(spot).alias("before"), F.first("key").over(spot).alias("first")).where("before IS NOT NULL").select(F.explode(F.array_distinct(F.array("before", "first"))).alias("a"), F.col("key").alias("b"))
-    pairs = meet(same.select("family", "fp"), radius, SHORT_BITS, ("family",))
-    low_a, low_b = same.select("family", F.col("fp").alias("a"), F.col("low").alias("key_a")), same.select("family", F.col("fp").alias("b"), F.col("low").alias("key_b"))
-    close = pairs.join(low_a, ["family", "a"]).join(low_b, ["family", "b"]).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    prints, _ = written(fingerprints(own, "key", "text", width, wide).groupBy("key").agg(F.min("fp").alias("fp")), "prints")
+    short = F.lit((1 << SHORT_BITS) - 1).cast("long")
+    halves = [F.shiftrightunsigned(F.col("fp")[k // 2], 32 * (k % 2)).bitwiseAND(short) for k in range(families)]
+    spots, _ = written(prints.select("key", F.explode(F.array(*[packed(F.lit(k), h) for k, h in enumerate(halves)])).alias("x")), "family-prints")
+    lows, _ = written(spots.groupBy("x").agg(F.min("key").alias("low")), "family-lows")
+    equal = spots.join(lows, "x").where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
+    pairs = meet_packed(lows.select("x"))
+    low_a, low_b = lows.select(F.col("x").alias("a"), F.col("low").alias("key_a")), lows.select(F.col("x").alias("b"), F.col("low").alias("key_b"))
+    close = pairs.join(low_a, "a").join(low_b, "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     asked = equal.unionByName(close).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     asked, _ = written(asked, "candidates")
+    of = lambda n, f: prints.select(F.col("key").alias(n), F.col("fp").alias(f))
+    differing = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    asked, _ = written(asked.join(of("a", "fa"), "a").join(of("b", "fb"), "b").where(differing <= most_differing(64 * wide, least)).select("a", "b"), "close-candidates")
     wanted = asked.select(F.col("a").alias("key")).unionByName(asked.select(F.col("b").alias("key"))).distinct()
-    texts, _ = written(own.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
+    # equal texts become one before the join, so a large group of copies is a row from each task
+    texts, _ = written(own.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key", "left_semi"), "candidate-texts")
     both = asked.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batch: pa.RecordBatch) -> dict:
@@ -193,14 +246,14 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return components(map_rows(both, verify, "a string, b string, near boolean").where("near").select("a", "b")).withColumnRenamed("node", "key")
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY, radius: int = 2) -> DataFrame:
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """df with one document of each group: that of the smallest id (then of the first text hash); equal texts are a group.
 
     Texts without words are one group. Columns that begin with `_vs_` are reserved.
     """
     key = text_key(df[text_col])
     ids = df.select(df[id_col].alias("id"), key.alias("key")).groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("low"))
-    groups = copy_groups(df, id_col, text_col, width, least, radius)
+    groups = copy_groups(df, id_col, text_col, width, least)
     rooted = ids.join(groups, "key", "left").select("key", "low", F.coalesce("root", "key").alias("root"))
     stay = rooted.groupBy("root").agg(F.min(F.struct("low.none", "low.id", "key")).alias("s")).select(F.col("s.key").alias("_vs_key"), F.col("s.id").alias("_vs_id"))
     stay, _ = written(stay, "stay")
