@@ -115,6 +115,7 @@ def strip_garbled_prefix(line) -> Column:
     return F.when(garbled, F.regexp_replace(line, pattern, "$2")).otherwise(line)
 
 
+# The patterns of artefacts.
 #: Artefacts at the beginning of a line, in the order in which they are taken off.
 LEADING = (
     r"(?U)^\d\s+(?=\p{L})",
@@ -247,6 +248,7 @@ def normal_date(raw) -> Column:
     return F.concat_ws("/", F.lpad(day, 2, "0"), F.lpad(month, 2, "0"), F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year))
 
 
+# The patterns of entities.
 #: (name, type, pattern, normaliser or None), applied in this order, each to what the one before has made of the text.
 ENTITY_RULES = (
     ("date_dmy_slash", "date", DATE, normal_date),

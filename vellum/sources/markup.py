@@ -250,6 +250,7 @@ def parse_html(data: bytes, name: str = "", scripts: bool = True, **_) -> dict:
 
 RULE, ITEM = re.compile(r"[-*_]{3,}\s*"), re.compile(r"(?:\d+\.|[-*+])\s+")
 HEAD, PICTURE = re.compile(r"(#{1,6})\s+(.+)"), re.compile(r'!\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\)')
+# The patterns of inline marks.
 #: Inline marks in the order in which they are tried: (opening-to-closing pattern, style).
 MARKS = (
     (r"\*\*\*(.+?)\*\*\*", {"bold": True, "italic": True}),
