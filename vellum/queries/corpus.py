@@ -26,6 +26,8 @@ def query(sql: str | None = None):
     return add
 
 
+#: DuckDB: what trimming takes off a line, and the words of a text.
+TRIMMED = "trim(line, ' ' || chr(9) || chr(10) || chr(13) || chr(11))"
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: length(w) >= 2)"
 NGRAM_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}'']+'), lambda w: length(w) >= 2)"
 SCORES = ", ".join(f"len(regexp_extract_all(text, '{p}'))" for _, p in text.LANGUAGE_SIGNS)
@@ -146,14 +148,15 @@ NATURAL = f"""(CASE WHEN length(w) < 3 THEN true
 THRICE = "len(list_filter(range(1, length({0}) - 1), lambda i: ({0})[i] = ({0})[i + 1] AND ({0})[i] = ({0})[i + 2])) > 0"
 
 
-@query(f"""
-WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_ix, trim(ls[i], ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS line
+#: DuckDB: lines that are not blank, with `noise`.
+JUDGED = f"""
+l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_ix, trim(ls[i], ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS line
            FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
 m AS (SELECT *, regexp_replace(line, '[^\\p{{L}}]', '', 'g') AS ls, regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+') AS ws FROM l WHERE line <> ''),
 n AS (SELECT *, lower(ls) AS low, length(ls) AS k, length(line) AS len, len(ws) AS nw, len(regexp_extract_all(line, '[|()\\[\\]<>{{}}+=&#@*^~\\\\]')) AS symbols,
         list_filter(list_transform(ws, lambda x: regexp_replace(x, '[^\\p{{L}}]', '', 'g')), lambda x: length(x) >= 3) AS checked FROM m),
-g AS (SELECT doc_id, line_ix, count(*) FILTER (good) AS good, count(*) AS c FROM (SELECT doc_id, line_ix, {NATURAL} AS good FROM (SELECT doc_id, line_ix, lower(unnest(checked)) AS w FROM n)) GROUP BY ALL)
-SELECT n.doc_id, n.line_ix, n.line, CASE
+g AS (SELECT doc_id, line_ix, count(*) FILTER (good) AS good, count(*) AS c FROM (SELECT doc_id, line_ix, {NATURAL} AS good FROM (SELECT doc_id, line_ix, lower(unnest(checked)) AS w FROM n)) GROUP BY ALL),
+judged AS (SELECT n.doc_id, n.line_ix, n.line, CASE
   WHEN k <= 2 OR len < 8 OR k / greatest(1, length(regexp_replace(line, '\\s', '', 'g')))::DOUBLE < 0.4 THEN true
   WHEN k BETWEEN 5 AND 30 AND (len(list_distinct(string_split(low, ''))) / length(low)::DOUBLE < 0.40
        OR (len(list_distinct(string_split(low, ''))) / length(low)::DOUBLE < 0.50 AND {THRICE.format('low')})) THEN true
@@ -164,13 +167,38 @@ SELECT n.doc_id, n.line_ix, n.line, CASE
   WHEN len < 25 AND (coalesce(c, 0) = 0 OR (len < 15 AND good < c) OR (len >= 15 AND good = 0)) THEN true
   WHEN nw >= 4 AND len < 50 THEN coalesce(c, 0) >= 3 AND (c - good) / c::DOUBLE > 0.5
   ELSE false END AS noise
-FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.line_ix = n.line_ix""")
+FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.line_ix = n.line_ix)"""
+
+
+@query(f"WITH {JUDGED} SELECT doc_id, line_ix, line, noise FROM judged")
 def noise_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_ix", "line")).withColumn("line", trim("line")).where("line <> ''")
     return lines.withColumn("noise", text.is_noise_line(F.col("line")))
 
 
-@query()
+def _edges(line: str) -> str:
+    """DuckDB: the edges of a line cleaned; what Java looks ahead to is put back."""
+    for a, b in ((r"^[0-9]\s+(\p{L})", r"\1"), (r"^\(\p{Lu}{1,2}\s+", ""), (r'^["«»]\p{L}{1,2}\s+', ""), (r"^[^\p{L}0-9]{1,3}\s+", ""), (r"^\p{Ll}{1,3}\s+(\p{Lu})", r"\1"), (r"^\p{Lu}\s+(\p{L})", r"\1"), (r"^\p{Lu}{2}\s+(\p{Lu}\p{Ll})", r"\1")):
+        line = f"regexp_replace({line}, '{a}', '{b}')"
+    return line
+
+
+PREFIX = r"^((?:\S{1,8}\s+){2,5})(\p{Lu}\p{Ll}{3,})"
+TOKENS = f"list_filter(list_transform(regexp_split_to_array(trim(regexp_extract(line, '{PREFIX}', 1)), '\\s+'), lambda x: lower(regexp_replace(x, '[^\\p{{L}}]', '', 'g'))), lambda x: length(x) >= 3)"
+TAILS = (r'\s*[|(\[<>)\]+=#&"]{1,2}\s*[0-9\p{P}\s]{0,5}$', r"\s+(?:\p{L}{1,2}|[0-9])$")
+
+
+@query(f"""WITH {JUDGED},
+lines AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_ix, ls[i] AS raw FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+a AS (SELECT doc_id, line_ix, {_edges('line')} AS line FROM judged WHERE NOT noise),
+b AS (SELECT doc_id, line_ix, line, {TOKENS} AS toks FROM a),
+o AS (SELECT doc_id, line_ix, line, len(toks) AS n, len(list_filter(toks, lambda w: NOT {NATURAL})) AS odd FROM b),
+c AS (SELECT doc_id, line_ix, CASE WHEN length(line) > 30 AND n >= 2 AND odd / n::DOUBLE >= 0.6 THEN regexp_replace(line, '{PREFIX}', '\\2') ELSE line END AS line FROM o),
+d AS (SELECT doc_id, line_ix, {TRIMMED.replace('line', f"regexp_replace(regexp_replace(line, '{TAILS[0]}', ''), '{TAILS[1]}', '')", 1)} AS line FROM c),
+e AS (SELECT lines.doc_id, lines.line_ix, CASE WHEN j.line IS NULL THEN '' ELSE d.line END AS line
+      FROM lines LEFT JOIN judged j ON j.doc_id = lines.doc_id AND j.line_ix = lines.line_ix LEFT JOIN d ON d.doc_id = lines.doc_id AND d.line_ix = lines.line_ix WHERE j.line IS NULL OR NOT j.noise)
+SELECT doc_id, {TRIMMED.replace('line', "regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')", 1)} AS text
+FROM (SELECT documents.doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_ix), '') AS t FROM documents LEFT JOIN e ON e.doc_id = documents.doc_id GROUP BY documents.doc_id)""")
 def clean_noise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_ocr_noise(F.col("text")).alias("text"))
 
@@ -199,12 +227,15 @@ def confusion_fix(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.fix_confusions(F.col("text")).alias("text"))
 
 
-@query()
+@query("""
+SELECT doc_id, CASE WHEN length(s) >= 5 AND length(s) - length(replace(s, ' ', '')) >= 0.6 * length(replace(s, ' ', '')) AND regexp_matches(s, '^\\s?\\S\\s\\S\\s\\S')
+  THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE s END AS text FROM (SELECT doc_id, text, regexp_replace(text, '(\\S)', '\\1 ', 'g') AS s FROM documents)""")
 def cid_collapse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.collapse_letter_spacing(F.regexp_replace("text", r"(\S)", "$1 ")).alias("text"))
 
 
-def _entity_query(name: str, pattern: str | None):
+def _entity_query(name: str, pattern: str | None, within: str | None = None):
+    """pattern: for DuckDB; within: one whose first group is the match, where a border has to be part of the pattern."""
     rule = next(r for r in text.ENTITY_RULES if r[0] == name)
 
     def run(spark, sf_dir):
@@ -216,7 +247,8 @@ def _entity_query(name: str, pattern: str | None):
     if rule[1] == "date":
         part = lambda k: f"regexp_extract(raw, '{pattern}', {k})"
         value = f"lpad({part(1)}, 2, '0') || '/' || lpad({part(2)}, 2, '0') || '/' || CASE WHEN length({part(3)}) = 2 THEN '20' || {part(3)} ELSE {part(3)} END"
-    query(f"SELECT doc_id, '{rule[1]}' AS type, raw, {value} AS value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS raw FROM documents) GROUP BY ALL" if pattern else None)(run)
+    found = f"regexp_extract_all(text, '{within}', 1)" if within else f"regexp_extract_all(text, '{pattern}')"
+    query(f"SELECT doc_id, '{rule[1]}' AS type, raw, {value} AS value, count(*) AS n FROM (SELECT doc_id, unnest({found}) AS raw FROM documents) GROUP BY ALL")(run)
 
 
 S = r"[ \t\n\x0B\f\r]"
@@ -227,7 +259,7 @@ _entity_query("url", r"(?i)(?:https?://|www\.)[^\s<>\]]+")
 _entity_query("amount", r"(?i)\b[0-9]{1,3}(?:[\s.,][0-9]{3})*(?:[,.][0-9]{1,2})?\s*(?:€|EUR|DA|USD|\$|£|MAD|DZD|TND)\b")
 _entity_query("iban", r"\b[A-Z]{2}[0-9]{2}[\s\-]?[0-9A-Z]{4}[\s\-]?[0-9A-Z]{4}[\s\-]?[0-9A-Z]{4}(?:[\s\-]?[0-9A-Z]{1,4}){0,5}\b")
 _entity_query("siret", r"\b[0-9]{3}[\s\-]?[0-9]{3}[\s\-]?[0-9]{3}[\s\-]?[0-9]{3}[\s\-]?[0-9]{2}\b")
-_entity_query("reference", None)
+_entity_query("reference", None, r"(?:^|[^\p{L}\p{N}_])((?i:R[ée]f|N°|Ref|Dossier)[\s.:]*[\p{L}\p{N}_\-/]+)")
 _entity_query("spaced_number", r"\b(?:[0-9]{1,3}(?:\s[0-9]{3}){1,4})\b")
 
 
@@ -238,8 +270,6 @@ def entities_all(spark, sf_dir):
     return out.select("doc_id", F.col("text").alias("rewritten"), "entities")
 
 
-TRIMMED = "trim(line, ' ' || chr(9) || chr(10) || chr(13) || chr(11))"
-
 
 @query(f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
