@@ -234,9 +234,11 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     of = lambda n, f: prints.select(F.col("key").alias(n), F.col("fp").alias(f))
     differing = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     asked, _ = written(asked.join(of("a", "fa"), "a").join(of("b", "fb"), "b").where(differing <= most_differing(64 * wide, least)).select("a", "b"), "close-candidates")
-    wanted = asked.select(F.col("a").alias("key")).unionByName(asked.select(F.col("b").alias("key"))).distinct()
-    # equal texts become one before the join, so a large group of copies is a row from each task
-    texts, _ = written(own.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key", "left_semi"), "candidate-texts")
+    wanted, _ = written(asked.select(F.col("a").alias("key")).unionByName(asked.select(F.col("b").alias("key"))).distinct(), "candidate-keys")
+    # where few texts are asked for, Spark's size check sends their keys out and no text is shuffled; else it can split the
+    # join of a large group of copies, as nothing but the written table stands above it
+    texts, _ = written(own.join(wanted, "key", "left_semi"), "candidate-rows")
+    texts, _ = written(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
     both = asked.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batch: pa.RecordBatch) -> dict:
