@@ -42,7 +42,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY freq DESC, wor
 SELECT language, word, CAST(freq AS BIGINT) AS freq, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def top_words_by_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    words = docs.select(text.detect_language(F.col("text")).alias("language"), F.explode(train.dictionary_words(F.col("text"))).alias("word"))
+    # the language in a projection below the explosion, else it is found again for every word
+    words = docs.select(text.detect_language(F.col("text")).alias("language"), train.dictionary_words(F.col("text")).alias("ws")).select("language", F.explode("ws").alias("word"))
     counts = words.groupBy("language", "word").agg(F.count("*").alias("freq"))
     return counts.withColumn("rank", F.row_number().over(W.partitionBy("language").orderBy(F.desc("freq"), "word"))).where("rank <= 20")
 
