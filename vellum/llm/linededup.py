@@ -31,7 +31,8 @@ SPACE = " \t\n\x0b\x0c\r"
 
 def line_table(df: DataFrame, id_col: str, text_col: str, window: int, min_words: int) -> DataFrame:
     """id, th (text hash), n (number among lines with words, from 1), pos (line number), h1, h2, words, sel."""
-    docs = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("th"), F.posexplode(F.split(df[text_col], "\n", -1)).alias("pos", "line"))
+    # the text's hash in a projection below the explosion, else it is computed again for every line
+    docs = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("th"), F.split(df[text_col], "\n", -1).alias("ls")).select("id", "th", F.posexplode("ls").alias("pos", "line"))
     line = F.btrim("line", F.lit(SPACE))
     rows = docs.select("id", "th", "pos", F.xxhash64(line).alias("h1"), F.hash(line, F.length(line)).alias("h2"), word_count(F.col("line")).alias("words")).where("words > 0")
     order = W.partitionBy("id", "th").orderBy("pos")
