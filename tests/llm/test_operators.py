@@ -323,6 +323,29 @@ def test_drop_copies(spark):
     assert simhash.drop_copies(empty(df)).count() == 0
 
 
+def star_of_copies(copies, words, changed, seed):
+    """A text and copies of it, each with a few other words, and the pairs that are similar."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(words)]
+    texts = [" ".join(base)]
+    for k in range(copies):
+        other = base.copy()
+        for i in rng.choice(words, changed, replace=False):
+            other[i] = f"x{k}y{i}"
+        texts.append(" ".join(other))
+    sets = [simhash.shingle_set(t.encode(), simhash.WIDTH) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= simhash.SIMILARITY]
+    return texts, near
+
+
+def test_star_of_copies_is_asked_whole(spark):
+    texts, near = star_of_copies(400, 300, 5, 1)
+    among = [(i, j) for i, j in near if j]
+    assert len(near) - len(among) > 390 and len(among) < 4000  # near to the base, few to each other
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.drop_copies(df).count() <= 20
+
+
 # 8
 
 

@@ -171,23 +171,40 @@ def packed(family, fp):
 
 
 def meet_packed(keys: DataFrame) -> DataFrame:
-    """As meet, for packed fingerprints `x` and radius 2: pairs (a, b), a < b, of one family that differ in at most two bits.
+    """As meet, for packed fingerprints `x` and radius 2: (x, at, lo, hi) for each value `at` at which several x meet.
 
-    Of each fingerprint the pairs with the least and with the greatest of those it meets, at most two however large its
-    group is; families order a group differently, so together they connect it. A variant is one number, the flipped value
-    and which bit is flipped, so a row of the shuffle is little more than that.
+    lo and hi are the least and the greatest of those that meet there. A variant is one number, the flipped value and which
+    bit is flipped, so a row of the shuffle is little more than that.
     """
     masks = [0] + [(1 << j + 6) ^ UNFLIPPED ^ j for j in range(SHORT_BITS)]
     emitted = keys.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("_mask"), "x").select(F.col("x").bitwiseXOR(F.col("_mask")).alias("v"))
-    emitted = emitted.withColumn("_at", F.col("v").bitwiseAND(F.lit(-64).cast("long")))
+    emitted = emitted.withColumn("at", F.col("v").bitwiseAND(F.lit(-64).cast("long")))
     x = F.expr(f"CASE WHEN v & 63 = {UNFLIPPED} THEN v ELSE v ^ shiftleft(1L, CAST(v & 63 AS INT) + 6) ^ ({UNFLIPPED}L ^ (v & 63)) END")
-    spot = W.partitionBy("_at")
-    met = emitted.withColumn("n", F.count("*").over(spot)).withColumn("x", x).withColumn("lo", F.min("x").over(spot)).withColumn("hi", F.max("x").over(spot)).where("n > 1")
+    spot = W.partitionBy("at")
+    met = emitted.withColumn("n", F.count("*").over(spot)).withColumn("x", x).withColumn("lo", F.min("x").over(spot)).withColumn("hi", F.max("x").over(spot))
+    return met.where("n > 1").select("x", "at", "lo", "hi")
+
+
+def first_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of each x with the least and with the greatest of those it meets: at most two, however large its group."""
     ends = met.groupBy("x").agg(F.min(F.when(F.col("lo") != F.col("x"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("hi") != F.col("x"), F.col("hi"))).alias("hi"))
     pairs = ends.select("x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("u")).where("u IS NOT NULL")
     return pairs.select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct()
 
 
+def pairs_between(members: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of the keys of members(at, key, root) that share an `at` and have different roots.
+
+    The keys of a value's commonest root are only paired with its other keys, never with each other.
+    """
+    sizes = members.groupBy("at", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("at").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("at", F.col("m.root").alias("main"))
+    mixed, _ = written(mixed, "mixed-values")
+    others, _ = written(members.join(mixed, "at").where("root <> main").select("at", "main", F.col("key").alias("k"), F.col("root").alias("r")), "other-members")
+    pairs = others.join(members, "at").where("r <> root AND (root = main OR k < key)")
+    return pairs.select(F.least("k", "key").alias("a"), F.greatest("k", "key").alias("b")).distinct()
+
+
 def most_differing(bits: int, least: float) -> int:
     """Differing bits that two texts of similarity `least` exceed once in 30,000 pairs."""
     share = math.acos(2 * least / (1 + least)) / math.pi
@@ -217,35 +234,57 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Two texts of similarity 0.8 differ in about 10 of 64 bits, beyond any ball that can be emitted. So each text has
     `families` fingerprints of 30 bits; texts that meet in any family within two bits are candidates. A pair links if the
     similarity of its word shingles is at least `least`; pairs whose fingerprints differ too much in all are not asked.
+
+    First few pairs of each text are asked, which links most copies. Then all pairs that meet and are not yet in one group
+    are, so the groups are those of all candidates, while the members of a large group are not compared with each other.
     """
     wide = -(-families // 2)
     own = df.select(text_key(df[text_col]).alias("key"), df[text_col].alias("text"))
     prints, _ = written(fingerprints(own, "key", "text", width, wide).groupBy("key").agg(F.min("fp").alias("fp")), "prints")
     short = F.lit((1 << SHORT_BITS) - 1).cast("long")
     halves = [F.shiftrightunsigned(F.col("fp")[k // 2], 32 * (k % 2)).bitwiseAND(short) for k in range(families)]
-    spots, _ = written(prints.select("key", F.explode(F.array(*[packed(F.lit(k), h) for k, h in enumerate(halves)])).alias("x")), "family-prints")
-    lows, _ = written(spots.groupBy("x").agg(F.min("key").alias("low")), "family-lows")
-    equal = spots.join(lows, "x").where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
-    pairs = meet_packed(lows.select("x"))
+    spots = prints.select("key", F.explode(F.array(*[packed(F.lit(k), h) for k, h in enumerate(halves)])).alias("x"))
+    values, _ = written(spots.groupBy("x").agg(F.count("*").alias("c")), "family-prints")
+    met, _ = written(meet_packed(values.select("x")), "meeting")
+    live = values.where("c > 1").select("x").unionByName(met.select("x")).distinct()
+    here, _ = written(spots.join(live, "x", "left_semi"), "live-prints")
+    lows, _ = written(here.groupBy("x").agg(F.min("key").alias("low")), "family-lows")
+
+    def ordered(a, b):
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of keys that are similar."""
+        of = lambda n, f: prints.select(F.col("key").alias(n), F.col("fp").alias(f))
+        differing = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        asked, _ = written(pairs.join(of("a", "fa"), "a").join(of("b", "fb"), "b").where(differing <= most_differing(64 * wide, least)).select("a", "b"), "close-candidates")
+        wanted, _ = written(asked.select(F.col("a").alias("key")).unionByName(asked.select(F.col("b").alias("key"))).distinct(), "candidate-keys")
+        # where few texts are asked for, Spark's size check sends their keys out and no text is shuffled; else it can split the
+        # join of a large group of copies, as nothing but the written table stands above it
+        texts, _ = written(own.join(wanted, "key", "left_semi"), "candidate-rows")
+        texts, _ = written(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
+        both = asked.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+        def verify(batch: pa.RecordBatch) -> dict:
+            near = [similarity(x, y, width) >= least for x, y in zip(utf8_values(batch.column(2)), utf8_values(batch.column(3)))]
+            return {"a": batch.column(0), "b": batch.column(1), "near": near}
+
+        return map_rows(both, verify, "a string, b string, near boolean").where("near").select("a", "b")
+
+    equal = here.join(lows, "x").where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
     low_a, low_b = lows.select(F.col("x").alias("a"), F.col("low").alias("key_a")), lows.select(F.col("x").alias("b"), F.col("low").alias("key_b"))
-    close = pairs.join(low_a, "a").join(low_b, "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    asked = equal.unionByName(close).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    asked, _ = written(asked, "candidates")
-    of = lambda n, f: prints.select(F.col("key").alias(n), F.col("fp").alias(f))
-    differing = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    asked, _ = written(asked.join(of("a", "fa"), "a").join(of("b", "fb"), "b").where(differing <= most_differing(64 * wide, least)).select("a", "b"), "close-candidates")
-    wanted, _ = written(asked.select(F.col("a").alias("key")).unionByName(asked.select(F.col("b").alias("key"))).distinct(), "candidate-keys")
-    # where few texts are asked for, Spark's size check sends their keys out and no text is shuffled; else it can split the
-    # join of a large group of copies, as nothing but the written table stands above it
-    texts, _ = written(own.join(wanted, "key", "left_semi"), "candidate-rows")
-    texts, _ = written(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
-    both = asked.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-
-    def verify(batch: pa.RecordBatch) -> dict:
-        near = [similarity(x, y, width) >= least for x, y in zip(utf8_values(batch.column(2)), utf8_values(batch.column(3)))]
-        return {"a": batch.column(0), "b": batch.column(1), "near": near}
-
-    return components(map_rows(both, verify, "a string, b string, near boolean").where("near").select("a", "b")).withColumnRenamed("node", "key")
+    close = first_pairs(met).join(low_a, "a").join(low_b, "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    first, _ = written(equal.unionByName(close).where("a <> b").select(*ordered("a", "b")).distinct(), "candidates")
+    groups, _ = written(components(links(first)).withColumnRenamed("node", "key"), "first-groups")
+
+    rooted = lows.withColumnRenamed("low", "key").join(groups, "key", "left").select("x", "key", F.coalesce("root", "key").alias("root"))
+    members = rooted.join(met.select("x", "at"), "x").select("at", "key", "root")
+    members, _ = written(members, "members")
+    rest, _ = written(pairs_between(members).join(first, ["a", "b"], "left_anti"), "other-candidates")
+    if rest.limit(1).count():
+        stars = groups.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))
+        groups = components(stars.unionByName(links(rest))).withColumnRenamed("node", "key")
+    return groups
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
