@@ -346,6 +346,14 @@ def test_star_of_copies_is_asked_whole(spark):
     assert simhash.drop_copies(df).count() <= 20
 
 
+def test_all_texts_of_a_value_are_compared(spark):
+    # one shingle that outweighs all others gives every text the same fingerprints
+    texts, near = star_of_copies(60, 300, 5, 2)
+    assert sum(j == 0 for _, j in near) == 60 and len(near) < 100
+    df = spark.createDataFrame([(i, t + " same" * 900) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.drop_copies(df).collect()] == [0]
+
+
 # 8
 
 

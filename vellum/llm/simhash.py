@@ -277,8 +277,9 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     first, _ = written(equal.unionByName(close).where("a <> b").select(*ordered("a", "b")).distinct(), "candidates")
     groups, _ = written(components(links(first)).withColumnRenamed("node", "key"), "first-groups")
 
-    rooted = lows.withColumnRenamed("low", "key").join(groups, "key", "left").select("x", "key", F.coalesce("root", "key").alias("root"))
-    members = rooted.join(met.select("x", "at"), "x").select("at", "key", "root")
+    rooted, _ = written(here.join(groups, "key", "left").select("x", "key", F.coalesce("root", "key").alias("root")), "rooted")
+    # texts of one value share that value itself, whose lowest bits no meeting value has
+    members = rooted.join(met.select("x", "at"), "x").select("at", "key", "root").unionByName(rooted.select(F.col("x").alias("at"), "key", "root"))
     members, _ = written(members, "members")
     rest, _ = written(pairs_between(members).join(first, ["a", "b"], "left_anti"), "other-candidates")
     if rest.limit(1).count():
