@@ -37,3 +37,14 @@ def test_query(spark, sf, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_column_letters_of_all_keys(spark, tmp_path):
+    keys = [1, 26, 27, 702, 703, 18278, 18279, 150_000, 475_254, 475_255, 15_000_000, 2**31 - 1]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey int").write.parquet(f"{tmp_path}/customer.parquet")
+
+    def letters(n):
+        return letters((n - 1) // 26) + chr(65 + (n - 1) % 26) if n else ""
+
+    got = {(r.c_custkey, r.letters, r.back) for r in entry.queries()["column_letters"](spark, str(tmp_path)).collect()}
+    assert got == {(k, letters(k), k - 1) for k in keys}

@@ -81,9 +81,9 @@ def column_index(ref) -> Column:
 
 
 def column_letters(index) -> Column:
-    """Letters of a zero-based column; three letters cover every spreadsheet, six cover any int."""
+    """Letters of a zero-based column; three letters cover every spreadsheet, seven cover any int."""
     n, digits = index.cast("long") + 1, []
-    for _ in range(6):
+    for _ in range(7):
         rest = F.pmod(n - 1, F.lit(26))
         digits.insert(0, F.when(n > 0, F.chr(rest + 65)).otherwise(""))
         n = F.when(n > 0, F.floor((n - 1) / 26)).otherwise(F.lit(0)).cast("long")

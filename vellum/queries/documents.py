@@ -217,8 +217,8 @@ SELECT c_custkey, CASE WHEN n >= 703 THEN chr(CAST(65 + (n - 703) // 676 AS INTE
   || CASE WHEN n >= 27 THEN chr(CAST(65 + ((n - 27) // 26) % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS letters, n - 1 AS back
 FROM (SELECT c_custkey, c_custkey + 0 AS n FROM customer WHERE c_custkey BETWEEN 1 AND 18278)""")
 def column_letters(spark, sf_dir):
-    """Letters of every customer key that a sheet could have as a column, and back."""
-    keys = table(spark, sf_dir, "customer").where("c_custkey BETWEEN 1 AND 18278").select("c_custkey", fn.column_letters(F.col("c_custkey") - 1).alias("letters"))
+    """Letters of every customer key from 1, the first column, and back; the SQL stops at three letters (key 18,278)."""
+    keys = table(spark, sf_dir, "customer").where("c_custkey >= 1").select("c_custkey", fn.column_letters(F.col("c_custkey") - 1).alias("letters"))
     return keys.withColumn("back", fn.column_index(F.concat("letters", F.lit("7"))))
 
 
