@@ -358,48 +358,85 @@ def test_all_texts_of_a_value_are_compared(spark):
 
 
 def brute_lines(rows, min_words=linededup.MIN_WORDS):
-    """Long lines that occurred before; the operator may delete more short lines, only inside repeated runs."""
-    seen, gone = set(), {}
-    for i, t in sorted(rows):
-        for k, line in enumerate((t or "").split("\n")):
-            key = line.strip(" \t\n\x0b\x0c\r")
-            if len(key.encode().split()) >= min_words:
-                if key in seen:
-                    gone.setdefault(i, set()).add(k)
-                seen.add(key)
+    """Line numbers to be deleted, by id: every pair of equal lines is followed as far as the runs agree."""
+    docs = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        lines = [(k, x.strip(" \t\n\x0b\x0c\r")) for k, x in enumerate((t or "").split("\n"))]
+        docs.append((i, [(k, x, len(x.encode().split())) for k, x in lines if x]))
+    seen, gone = defaultdict(list), {}
+    for d, (i, lines) in enumerate(docs):
+        cut = set()
+        for q, (_, x, _) in enumerate(lines):
+            for e, p in seen[x]:
+                other = docs[e][1]
+                n = 0
+                while q + n < len(lines) and p + n < len(other) and (e != d or p + n < q) and lines[q + n][1] == other[p + n][1]:
+                    n += 1
+                if sum(w for _, _, w in lines[q : q + n]) >= min_words:
+                    cut |= set(range(q, q + n))
+            seen[x].append((d, q))
+        whole = set()
+        for q in cut:  # blank lines between two deleted lines
+            whole.add(lines[q][0])
+            if q + 1 in cut:
+                whole |= set(range(lines[q][0], lines[q + 1][0]))
+        gone[i] = whole
     return gone
 
 
+def cut_lines(t, gone):
+    return t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+
+
 def test_lines_against_brute_force(spark, sf, texts):
     rows = sorted(texts.items())
     gone = brute_lines(rows)
-    assert gone
+    assert any(gone.values())
     got = {r.doc_id: r for r in QUERIES["op8_line_winnow"](spark, sf).collect()}
-    first = {}
     for i, t in rows:
-        for k, line in enumerate(t.split("\n")):
-            first.setdefault(line.strip(" \t\n\x0b\x0c\r"), (i, k))
-    for i, t in rows:
-        lines = t.split("\n")
-        cut = {k for r in got[i].removed_runs or [] for k in range(r["first"], r["last"] + 1)}
-        assert gone.get(i, set()) <= cut
-        assert got[i].text == "\n".join(x for k, x in enumerate(lines) if k not in cut)
-        for k in cut:  # every deleted line has an earlier twin
-            key = lines[k].strip(" \t\n\x0b\x0c\r")
-            assert not key or first[key] < (i, k)
+        assert {k for r in got[i].removed_runs or [] for k in range(r["first"], r["last"] + 1)} == gone[i]
+        assert got[i].text == cut_lines(t, gone[i])
+        assert (got[i].n_lines, got[i].n_removed) == (t.count("\n") + 1, len(gone[i]))
+
+
+def test_short_lines_against_brute_force(spark):
+    """Lines of few words out of a small store, so that runs overlap, begin elsewhere and stand alone as well."""
+    rng = np.random.default_rng(4)
+    store = [f"w{i} " * (1 + i % 6) for i in range(12)] + ["a long line of more than ten words that is a window alone", "", "  "]
+    rows = [(i, "\n".join(store[k] for k in rng.integers(0, len(store), rng.integers(1, 25)))) for i in range(120)]
+    passage = [f"short {i}" for i in range(12)]
+    rows += [(500, "\n".join(passage)), (501, "\n".join(["x y z", *passage, "end"]))] + [(400 + k, f"{x}\nelse {k}") for k, x in enumerate(passage)]
+    gone = brute_lines(rows)
+    assert gone[501] == set(range(1, 13)) and sum(map(bool, gone.values())) > 60
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: cut_lines(t, gone[i]) for i, t in rows}
 
 
 def test_runs_of_short_lines(spark):
     run = [f"only four words {i}" for i in range(6)]
     rows = [(1, "\n".join(["alpha beta"] + run + ["gamma delta"])), (2, "\n".join(["other start"] + run + ["other end"])), (3, "only four words 2\nalone in here"), (4, None), (5, ""), (6, "\n".join(run)), (6, "\n".join(run)), (None, "null id first\n" + "\n".join(run[:3]))]
-    df = spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id long, text string, n int, id string")
-    out = linededup.dedup_lines(df)
+    df = spark.createDataFrame([(*r, 1, "n", "k") for r in rows], "doc_id long, text string, n int, `th.a` string, runs string")
+    out = linededup.dedup_lines(df, runs_col="cut")
     got = defaultdict(set)
     for r in out.collect():
         got[r.doc_id].add(r.text)
     assert got[None] == {rows[-1][1]} and got[2] == {"other start\nother end"} and got[3] == {rows[2][1]} and got[4] == {None} and got[5] == {""} and got[6] == {""}
     assert "alpha beta" in next(iter(got[1])) and "only four words 5" in next(iter(got[1]))
-    assert out.columns == ["doc_id", "text", "n", "id", "_vl_runs"] and linededup.dedup_lines(empty(df)).count() == 0
+    assert out.columns == ["doc_id", "text", "n", "th.a", "runs", "cut"] and linededup.dedup_lines(empty(df)).count() == 0
+
+
+def test_texts_of_many_lines(spark):
+    """Two texts of n lines, one a copy: the time follows n, so a text of many lines ends."""
+    import time
+
+    took = {}
+    for n in (2_000, 40_000):
+        text = "\n".join(f"line {i} of it" for i in range(n))
+        df = spark.createDataFrame([(1, text), (2, "first\n" + text)], "doc_id long, text string")
+        start = time.time()
+        assert {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()} == {1: text, 2: "first"}
+        took[n] = time.time() - start
+    assert took[40_000] < 30
 
 
 # 9

@@ -1,97 +1,99 @@
 """Operator 8: repeated runs of lines, found by winnowing. DataFrame functions only.
 
-1. Every line with a word is hashed (96 bits, white space at its ends ignored). In each window of WINDOW consecutive
-   lines the least hash is a fingerprint, and so is every line of at least min_words words, which counts as a run alone.
-2. Fingerprints are joined with the position at which each first occurs (documents in the order of id, then text hash).
-   One row for each fingerprint, not one for each pair, so a line that a third of all documents share costs no more.
-3. Matches are extended both ways: the lines beside a match are compared with the lines beside its first occurrence,
-   until one differs (alignment of the nearest match on either side).
-4. Runs of consecutive matched lines with at least min_words words are deleted where they occur later.
+A run is a number of consecutive lines (blank ones between them aside); it repeats if the same lines stood before, in an
+earlier document (in the order of id, then text hash) or earlier in its own, clear of it. Every later run of at least
+min_words words is deleted, with all its lines, whether long or short; the first occurrence stays.
 
-So every line of at least min_words words that occurred before goes, wherever it stands, and shorter lines go where they
-belong to a repeated run. The first occurrence always stays.
+1. Each line with a word is hashed (96 bits, white space at its ends ignored). A window is the shortest run of lines with
+   min_words words from a line on, forwards, or, for a line that is shorter alone, also backwards.
+2. Winnowing: the least line hash of a window is its fingerprint. A repeated run of min_words words holds a whole window at
+   each of its lines, so its fingerprints are the same wherever it stands: none can be missed.
+3. Positions are joined by fingerprints: windows whose fingerprint stands at one position only are unique and go no further.
+4. Matches are extended both ways: the lines that a window has before and after its fingerprint are compared by their
+   hashes with those of *all* windows of the same fingerprint, by one row for each distinct window (its first position),
+   not one for each pair; so a line that a third of all documents share costs no more, and a run is found whatever other
+   places its single lines first stood at. Windows overlap, so longer matches grow window by window, forwards and backwards.
+5. Windows that stood before are joined into runs, and the runs are deleted.
+
+All steps are linear in the lines, in a text of any length: a window has at most min_words lines.
 
 Cases: null text stays null, empty text empty; a document all of whose lines are later repeats stays, with an empty text;
 blank lines go only inside a deleted run; repeated rows (same id and text) are one document: they get the same result;
 null ids come first in order; an empty table gives an empty result; texts and lines of any length are whole; other columns
-pass through unchanged, whatever their names (names that begin with `_vl_` are reserved).
+pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import table, word_count, written
 
-WINDOW, MIN_WORDS = 4, 10
+MIN_WORDS = 10
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def line_table(df: DataFrame, id_col: str, text_col: str, window: int, min_words: int) -> DataFrame:
-    """id, th (text hash), n (number among lines with words, from 1), pos (line number), h1, h2, words, sel."""
-    # the text's hash in a projection below the explosion, else it is computed again for every line
-    docs = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("th"), F.split(df[text_col], "\n", -1).alias("ls")).select("id", "th", F.posexplode("ls").alias("pos", "line"))
-    line = F.btrim("line", F.lit(SPACE))
-    rows = docs.select("id", "th", "pos", F.xxhash64(line).alias("h1"), F.hash(line, F.length(line)).alias("h2"), word_count(F.col("line")).alias("words")).where("words > 0")
-    order = W.partitionBy("id", "th").orderBy("pos")
-    rows = rows.withColumn("again", F.lag("pos").over(order)).where("again IS NULL OR again <> pos").drop("again")
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("left", F.count("*").over(order.rowsBetween(0, window - 1)))
-    rows = rows.withColumn("least", F.when((F.col("left") == window) | (F.col("n") == 1), F.min("h1").over(order.rowsBetween(0, window - 1))))
-    rows = rows.withColumn("most", F.max("least").over(order.rowsBetween(-(window - 1), 0)))
-    return rows.select("id", "th", "n", "pos", "h1", "h2", "words", ((F.col("most") == F.col("h1")) | (F.col("words") >= min_words)).alias("sel"))
-
-
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, th and runs (array of struct<first, last> line numbers, both included) of each document with later repeats."""
-    lines, _ = written(line_table(df, id_col, text_col, window, min_words), "lines")
-    chosen = lines.where("sel")
-    # a table of its own, so that the join's sides are dealt out by the join alone and Spark can split a common line's part
-    first, _ = written(chosen.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("f.id").alias("fid"), F.col("f.th").alias("fth"), F.col("f.n").alias("fn")), "first-lines")
-    met = chosen.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    met = met.where(~(F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")) & (F.col("n") == F.col("fn"))))
-    anchors, _ = written(met.select("id", "th", "n", "fid", "fth", "fn"), "anchors")
-    # all lines of the documents that have a match, with the nearest match on either side
-    a = anchors.select(F.col("id").alias("aid"), F.col("th").alias("ath"), F.col("n").alias("an"), "fid", "fth", "fn")
-    some = anchors.select(F.col("id").alias("aid"), F.col("th").alias("ath")).distinct()
-    here = lines.join(some, F.col("id").eqNullSafe(F.col("aid")) & (F.col("th") == F.col("ath")), "left_semi")
-    here = here.join(a, F.col("id").eqNullSafe(F.col("aid")) & (F.col("th") == F.col("ath")) & (F.col("n") == F.col("an")), "left")
-    order = W.partitionBy("id", "th").orderBy("n")
-    match = F.when(F.col("an").isNotNull(), F.struct("fid", "fth", (F.col("n") - F.col("fn")).alias("shift"), F.col("n").alias("at")))
-    here = here.select("id", "th", "n", "pos", "h1", "h2", "words", match.alias("m"))
-    here = here.withColumn("l", F.last("m", True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("r", F.first("m", True).over(order.rowsBetween(0, W.unboundedFollowing)))
-    here, _ = written(here, "beside")
-    sides = F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("m")), F.struct(F.lit("r").alias("side"), F.col("r").alias("m")))
-    asked = here.where("m IS NULL").select("id", "th", "n", "h1", "h2", F.explode(sides).alias("s")).where("s.m IS NOT NULL")
-    asked = asked.select("id", "th", "n", "h1", "h2", "s.side", F.col("s.m.fid").alias("fid"), F.col("s.m.fth").alias("fth"), (F.col("n") - F.col("s.m.shift")).alias("fn"))
-    there = lines.select(F.col("id").alias("tid"), F.col("th").alias("tth"), F.col("n").alias("tn"), F.col("h1").alias("t1"), F.col("h2").alias("t2"))
-    same = asked.join(there, F.col("fid").eqNullSafe(F.col("tid")) & (F.col("fth") == F.col("tth")) & (F.col("fn") == F.col("tn")) & (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")))
-    same = same.groupBy("id", "th", "n").agg(F.max(F.col("side") == "l").alias("on_l"), F.max(F.col("side") == "r").alias("on_r"))
-    same = same.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.col("n").alias("sn"), "on_l", "on_r")
-    here = here.join(same, F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")) & (F.col("n") == F.col("sn")), "left")
-    stop_l = F.when(F.col("m").isNull() & ~F.coalesce("on_l", F.lit(False)), F.col("n"))
-    stop_r = F.when(F.col("m").isNull() & ~F.coalesce("on_r", F.lit(False)), F.col("n"))
-    here = here.withColumn("stop_l", F.max(stop_l).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("stop_r", F.min(stop_r).over(order.rowsBetween(0, W.unboundedFollowing)))
-    by_left = F.col("l").isNotNull() & (F.col("stop_l").isNull() | (F.col("stop_l") < F.col("l.at")))
-    by_right = F.col("r").isNotNull() & (F.col("stop_r").isNull() | (F.col("stop_r") > F.col("r.at")))
-    gone = here.where(by_left | by_right).select("id", "th", "n", "pos", "words").withColumn("run", F.col("n") - F.row_number().over(order))
-    runs = gone.groupBy("id", "th", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("words").alias("w")).where(F.col("w") >= min_words)
-    return runs.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
-
-
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """df with the text of later repeated runs deleted, and `_vl_runs`, the deleted runs (null: none)."""
-    runs = repeated_runs(df, id_col, text_col, window, min_words).select(F.col("id").alias("_vl_id"), F.col("th").alias("_vl_th"), F.col("runs").alias("_vl_runs"))
-    out = df.join(runs, df[id_col].eqNullSafe(F.col("_vl_id")) & (F.xxhash64(df[text_col]) == F.col("_vl_th")), "left")
-    inside = lambda i: F.exists("_vl_runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
-    cut = F.array_join(F.filter(F.split(df[text_col], "\n", -1), lambda x, i: ~inside(i)), "\n")
-    text = F.when(F.col("_vl_runs").isNull(), df[text_col]).otherwise(cut)
-    return out.select(*[text.alias(c) if c == text_col else df[c] for c in df.columns], "_vl_runs")
+def line_windows(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """id, th (text hash), a, b (first and last of its lines, among those with words), first, last (their line numbers), k1, k2 (hash of all lines), fp (least line hash) and at (its line) of each window."""
+    line = lambda x: F.btrim(x, F.lit(SPACE))
+    number = lambda x, i: F.struct(i.alias("pos"), F.xxhash64(line(x)).alias("h1"), F.hash(line(x), F.length(line(x))).alias("h2"), word_count(x).alias("words"))
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.filter(F.transform(F.split(text_col, "\n", -1), number), lambda x: x["words"] > 0).alias("lines"))
+    grown = f"""(w, y) -> IF(w.words >= {min_words}, w, named_struct('words', w.words + y.words, 'lines', w.lines + 1, 'end', y.pos, 'k1', xxhash64(w.k1, y.h1), 'k2', hash(w.k2, y.h2),
+        'fp', least(w.fp, y.h1), 'at', IF(y.h1 < w.fp OR w.lines = 0, w.lines, w.at)))"""
+    none = lambda tag: f"named_struct('words', 0L, 'lines', 0, 'end', 0, 'k1', {tag}L, 'k2', {tag}, 'fp', {(1 << 63) - 1}L, 'at', 0)"
+    # a line that is long enough is a window alone, whichever way one looks
+    forwards = f"transform(lines, (x, i) -> aggregate(IF(x.words >= {min_words}, array(x), slice(lines, i + 1, {min_words})), {none(0)}, {grown}, w -> named_struct('words', w.words, 'a', i, 'b', i + w.lines - 1, 'first', x.pos, 'last', w.end, 'k1', w.k1, 'k2', w.k2, 'fp', w.fp, 'at', i + w.at)))"
+    backwards = f"transform(lines, (x, i) -> IF(x.words >= {min_words}, NULL, aggregate(reverse(slice(lines, greatest(i + 2 - {min_words}, 1), least(i + 1, {min_words}))), {none(1)}, {grown}, w -> named_struct('words', w.words, 'a', i - w.lines + 1, 'b', i, 'first', w.end, 'last', x.pos, 'k1', w.k1, 'k2', w.k2, 'fp', w.fp, 'at', i - w.at))))"
+    found = docs.select("id", "th", F.explode(F.expr(f"filter(concat({forwards}, {backwards}), w -> w.words >= {min_words})")).alias("w"))
+    return found.select("id", "th", *[F.col(f"w.{c}").alias(c) for c in ("a", "b", "first", "last", "k1", "k2", "fp", "at")])
+
+
+def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """id, th and runs (array of struct<first, last> line numbers, both included, in order) of each document with later repeats."""
+    windows, _ = written(line_windows(df, id_col, text_col, min_words), "line-windows")
+    # positions of a fingerprint, each as one number; written, as the tables below, so that each join's sides are dealt out
+    # by the join alone and Spark can split the part of a common line
+    spot = F.xxhash64("id", "th", "at")
+    twice = windows.groupBy("fp").agg(F.min(spot).alias("one"), F.max(spot).alias("other")).where("one <> other").select("fp")
+    twice, _ = written(twice, "line-prints")
+    met, _ = written(windows.join(twice, "fp", "left_semi").drop("fp", "at"), "met-windows")
+    before = met.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "a", "b")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    before, _ = written(before.select("k1", "k2", F.col("f.id").alias("fid"), F.col("f.th").alias("fth"), F.col("f.b").alias("fb")), "first-windows")
+    itself = F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")) & (F.col("a") <= F.col("fb"))
+    later, _ = written(met.join(before, ["k1", "k2"]).where(~itself).select("id", "th", "a", "b", "first", "last"), "later-windows")
+    # windows that overlap or follow each other are one run; repeated rows have the same windows
+    later = later.groupBy("id", "th", "a").agg(F.max("b").alias("b"), F.min("first").alias("first"), F.max("last").alias("last"))
+    order = W.partitionBy("id", "th").orderBy("a")
+    later = later.withColumn("fresh", (F.col("a") > F.coalesce(F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
+    later = later.withColumn("run", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = later.groupBy("id", "th", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    runs = runs.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    return written(runs, "line-runs")[0]
+
+
+def without_runs(lines: str, runs: str) -> Column:
+    """The text of the column `lines` without the lines of `runs`: what stands between them, piece by piece."""
+    gaps = F.expr(f"zip_with(concat(array(0), transform({runs}, r -> r.last + 1)), concat(transform({runs}, r -> r.first), array(size({lines}))), (s, e) -> named_struct('s', s, 'e', e))")
+    kept = F.filter(gaps, lambda g: g["e"] > g["s"])
+    return F.array_join(F.transform(kept, lambda g: F.array_join(F.slice(lines, g["s"] + 1, g["e"] - g["s"]), "\n")), "\n")
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, runs_col: str | None = None) -> DataFrame:
+    """df with later repeated runs deleted from its texts; with runs_col also the deleted runs (null: none) under that name."""
+    names = df.columns
+    rows = df.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    runs = repeated_runs(rows, key, text, min_words)
+    out = rows.withColumn("th", F.xxhash64(text)).join(runs.select(F.col("id").alias("rid"), F.col("th").alias("rth"), "runs"), F.col(key).eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
+    out = out.withColumn("lines", F.when(F.col("runs").isNotNull(), F.split(text, "\n", -1)))
+    cut = F.when(F.col("runs").isNull(), F.col(text)).otherwise(without_runs("lines", "runs"))
+    return out.select(*[(cut if c == text else F.col(c)).alias(n) for c, n in zip(rows.columns, names)], *([F.col("runs").alias(runs_col)] if runs_col else []))
 
 
 def op8_line_winnow(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"), "text")
-    out = dedup_lines(docs)
-    removed = F.aggregate(F.coalesce("_vl_runs", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
-    return out.select("doc_id", "text", F.size(F.split("whole", "\n", -1)).alias("n_lines"), removed.alias("n_removed"), F.col("_vl_runs").alias("removed_runs"))
+    out = dedup_lines(docs, runs_col="removed_runs")
+    removed = F.aggregate(F.coalesce("removed_runs", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
+    return out.select("doc_id", "text", F.size(F.split("whole", "\n", -1)).alias("n_lines"), removed.alias("n_removed"), "removed_runs")
