@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from vellum.llm import ORACLES, QUERIES, license, linededup, media, mixing, packing, quality, simhash, tokencount, toxicity, urlfilter
-from vellum.llm.common import clear_scratch, fresh, shared_dir, written
+from vellum.llm.common import clear_scratch, fresh, shared_dir, word_count, written
 
 ODD = [(1, "a b\nc"), (2, None), (3, ""), (4, " \n\t "), (5, "a b\nc"), (5, "a b\nc"), (None, "x # y"), (7, "word " * 40_000), (8, "é" * 5000), (9, "Don't  stop\n\n now<|endoftext|>ok 日本 \U0001f600")]
 
@@ -194,10 +194,86 @@ def test_packing_odd_rows(spark):
     assert len(packing.pack_documents(same).collect()) == 50
 
 
-def test_best_fit_beats_one_length():
-    sizes = sorted(np.random.default_rng(0).integers(1, 2049, 3000).tolist(), reverse=True)
-    room = lambda lengths: sum({k: c for k, _, c in packing.pack(sizes, lengths)}.values())
-    assert room(packing.LENGTHS) <= room((2048,)) and sum(sizes) / room(packing.LENGTHS) > 0.97
+def cost_of(sizes, lengths):
+    return sum(map(packing.price, {k: c for k, _, c in packing.pack(sizes, lengths)}.values()))
+
+
+def test_lengths_are_chosen_jointly(spark):
+    """Over the documents of sf0.1: several lengths open and stay, at less cost than any one length alone or than the largest cut down at the end."""
+    rows = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", word_count(F.col("text")).alias("size"))).collect()
+    bins = {r.bin_id: r.bin_length for r in rows if r.bin_id}
+    assert min(Counter(bins.values())[c] for c in packing.LENGTHS) >= 20
+    sizes = sorted((r.length for r in rows if r.bin_id), reverse=True)
+    one = cost_of(sizes, (2048,))
+    spots = packing.pack(sizes, (2048,))
+    fill = Counter()
+    for (k, _, _), s in zip(spots, sizes):
+        fill[k] += s
+    cut_down = sum(packing.price(min(c for c in packing.LENGTHS if c >= u)) for u in fill.values())
+    joint = sum(map(packing.price, bins.values()))
+    assert joint < 0.95 * cut_down and cut_down <= one
+    assert sum(sizes) / sum(bins.values()) > 0.97
+
+
+def least_cost(sizes, lengths):
+    """The least total price of all ways to put the pieces into bins."""
+    best = {0: 0.0}
+
+    def of(left):
+        if left not in best:
+            low = left & -left
+            rest, best[left] = left ^ low, float("inf")
+            sub = rest
+            while True:  # every set that holds the first piece as one bin
+                part = sub | low
+                used = sum(s for k, s in enumerate(sizes) if part >> k & 1)
+                fit = [c for c in lengths if c >= used]
+                if fit:
+                    best[left] = min(best[left], packing.price(min(fit)) + of(left ^ part))
+                if not sub:
+                    break
+                sub = (sub - 1) & rest
+        return best[left]
+
+    return of((1 << len(sizes)) - 1)
+
+
+def test_packing_against_all_ways():
+    rng, ratios = np.random.default_rng(0), []
+    for _ in range(60):
+        sizes = sorted((rng.integers(1, rng.choice([60, 300, 1024]), rng.integers(1, 9))).tolist(), reverse=True)
+        ratios.append(cost_of(sizes, (128, 256, 1024)) / least_cost(sizes, (128, 256, 1024)))
+    assert min(ratios) > 0.9999 and np.mean(ratios) < 1.12 and max(ratios) < 1.6
+
+
+def test_opening_against_a_plain_twin():
+    """The same rules without bit sets: each opened length is the one of least price for each token that it would hold."""
+    lengths = (16, 32, 64)
+    for seed in range(40):
+        sizes = sorted(np.random.default_rng(seed).integers(1, 65, 30).tolist(), reverse=True)
+        bins, want = [], []
+        for k, s in enumerate(sizes):
+            free = [(room, -n) for n, (room, _) in enumerate(bins) if room >= s]
+            if free:
+                n = min(free, key=lambda x: x[0])[0]
+                at = next(j for j, (room, _) in reversed(list(enumerate(bins))) if room == n)
+            else:
+                costs = []
+                for c in lengths:
+                    if c >= s:
+                        room, held = c - s, s
+                        for x in sizes[k + 1 :]:
+                            if x <= room:
+                                room, held = room - x, held + x
+                        costs.append((packing.price(c) / held, -c))
+                at = len(bins)
+                bins.append([-min(costs)[1], 0])
+            want.append((bins[at][1], s))
+            bins[at] = [bins[at][0] - s, bins[at][1] + s]
+        got = packing.pack(sizes, lengths)
+        # which of several bins of the same room takes a piece is free
+        assert sorted(Counter(c for _, _, c in set((k, 0, c) for k, _, c in got)).items()) == sorted(Counter(min(c for c in lengths if c >= used) for _, used in bins).items())
+        assert [at for _, at, _ in got].count(0) == len(bins)
 
 
 # 6
