@@ -393,9 +393,11 @@ def test_drop_copies(spark):
     far = words.copy()
     far[::4] = ["other"] * 75
     rows = [(5, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words)), (None, ""), (9, None), (9, None), (10, "  "), (3, " ".join(far))]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string")
+    df = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(rows)], "doc_id long, text string, fp string, `own.key` int")
     out = simhash.drop_copies(df).collect()
-    assert sorted(r.doc_id for r in out) == [2, 3, 9] and all(r.fp == "x" for r in out)
+    assert out[0].__fields__ == ["doc_id", "text", "fp", "own.key"] and sorted(r.doc_id for r in out) == [2, 3, 9] and all(r.fp == "x" for r in out)
+    again = simhash.drop_copies(df.repartition(5)).collect()  # of rows that repeat id and text always the same one
+    assert Counter(map(tuple, out)) == Counter(map(tuple, again))
     assert simhash.drop_copies(empty(df)).count() == 0
 
 
@@ -414,6 +416,52 @@ def star_of_copies(copies, words, changed, seed):
     return texts, near
 
 
+def test_recall_is_the_same_at_every_size():
+    """A model of 1e4 to 1e10 documents: the shape for that many, and pairs of sets of similarity 0.8 drawn at random."""
+    rng = np.random.default_rng(6)
+    for texts in (10**4, 10**6, 10**8, 10**10):
+        bits, families = simhash.shape(texts)
+        assert texts * families * simhash.meeting_share(bits, 0.5) < bits * families  # strangers stay below the variants
+        words, met, pairs = -(-bits * families // 64), 0, 120
+        for _ in range(pairs):
+            a = rng.integers(0, 1 << 63, 90).astype(np.uint64)
+            b = np.append(a[:80], rng.integers(0, 1 << 63, 10).astype(np.uint64))  # 80 of 100
+            x, y = (sum(p << 64 * k for k, p in enumerate(simhash.set_prints(h, words))) for h in (a, b))
+            met += any((((x ^ y) >> k * bits) & (1 << bits) - 1).bit_count() <= 2 for k in range(families))
+        assert met / pairs > 0.84  # 0.9 less two standard errors
+    # over the same bits, more texts never take fewer families
+    assert sorted(simhash.shape(10**k) for k in range(1, 11)) == [simhash.shape(10**k) for k in range(1, 11)]
+
+
+def test_prints_of_short_and_repetitive_texts():
+    """Unrelated texts differ in half of their bits, whatever their number of shingles and repeats."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 4, 6, 50):
+        prints = [simhash.set_prints(np.append(h, np.repeat(h[:1], 500)), 2) for h in rng.integers(0, 1 << 63, (120, n)).astype(np.uint64)]
+        share = np.mean([(x ^ y).bit_count() for p, q in zip(prints, prints[1:]) for x, y in zip(p, q)]) / 64
+        assert abs(share - 0.5) < 0.03, n
+
+
+def test_recall_of_copies_in_documents(spark, texts):
+    """Documents and altered ones among them: links of all pairs of similarity 0.8 and more, against brute force."""
+    rng, rows = np.random.default_rng(9), []
+    for i, t in sorted(texts.items()):
+        words = t.split()
+        if 60 < len(words) < 2000:
+            rows.append((i, t))
+            for k in range(3):
+                other = words.copy()
+                for j in rng.choice(len(words), max(1, len(words) // rng.integers(50, 80)), replace=False):
+                    other[j] = f"x{k}y{j}"
+                rows.append((10_000 * (k + 1) + i, " ".join(other)))
+    keys = [hashlib.md5(t.encode()).hexdigest() for _, t in rows]
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+    near = [(keys[i], keys[j]) for i in range(len(rows)) for j in range(i) if keys[i] != keys[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = {r.key: r.root for r in simhash.copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [root.get(a, a) == root.get(b, b) for a, b in near]
+    assert len(near) > 150 and np.mean(found) > 0.97  # most groups have several links
+
+
 def test_star_of_copies_is_asked_whole(spark):
     texts, near = star_of_copies(400, 300, 5, 1)
     among = [(i, j) for i, j in near if j]
@@ -615,14 +663,26 @@ def test_scratch_is_named_by_the_session_and_cleared(spark, odd):
 
 
 class Named:
-    """A session whose cluster names the shared folder."""
+    """A session on a cluster that names the shared folder."""
 
     class conf:
         get = staticmethod(lambda key, default=None: {"spark.checkpoint.dir": "hdfs://shared/folder"}.get(key, default))
 
+    class sparkContext:
+        master, applicationId = "spark://host:7077", "app"
+
+
+class Unnamed(Named):
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
 
 def test_shared_folder_is_the_clusters():
     assert shared_dir(Named) == "hdfs://shared/folder"
+    with pytest.raises(ValueError):
+        shared_dir(Unnamed)
+    Unnamed.sparkContext.master = "local[4]"
+    assert shared_dir(Unnamed) == "file:///tmp/checkpoints/app"
 
 
 @pytest.mark.parametrize("name", list(ORACLES))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import sys
 import types
 import uuid
@@ -24,7 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_SHARED}/{spark.sparkContext.applicationId}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{LOCAL_SHARED}/{spark.sparkContext.applicationId}"
 
 
 #: Paths that operators have made in the shared folder, by application.
@@ -54,6 +60,31 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Tables that only the steps within an operator read; `with` removes them at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+            SCRATCH[self.spark.sparkContext.applicationId].remove(path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = written(df, name)
+        self.paths.append(path)
+        return table
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., so that no name of theirs, dots and repeats included, clashes with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table, word_count, written
+from .common import Scratch, numbered, table, word_count, written
 
 MIN_WORDS = 10
 SPACE = " \t\n\x0b\x0c\r"
@@ -52,17 +52,21 @@ def line_windows(df: DataFrame, id_col: str, text_col: str, min_words: int) -> D
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, th and runs (array of struct<first, last> line numbers, both included, in order) of each document with later repeats."""
-    windows, _ = written(line_windows(df, id_col, text_col, min_words), "line-windows")
+    with Scratch(df.sparkSession) as scratch:
+        return _runs(scratch, scratch.written(line_windows(df, id_col, text_col, min_words), "line-windows"))
+
+
+def _runs(scratch: Scratch, windows: DataFrame) -> DataFrame:
     # positions of a fingerprint, each as one number; written, as the tables below, so that each join's sides are dealt out
     # by the join alone and Spark can split the part of a common line
     spot = F.xxhash64("id", "th", "at")
     twice = windows.groupBy("fp").agg(F.min(spot).alias("one"), F.max(spot).alias("other")).where("one <> other").select("fp")
-    twice, _ = written(twice, "line-prints")
-    met, _ = written(windows.join(twice, "fp", "left_semi").drop("fp", "at"), "met-windows")
+    twice = scratch.written(twice, "line-prints")
+    met = scratch.written(windows.join(twice, "fp", "left_semi").drop("fp", "at"), "met-windows")
     before = met.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "a", "b")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    before, _ = written(before.select("k1", "k2", F.col("f.id").alias("fid"), F.col("f.th").alias("fth"), F.col("f.b").alias("fb")), "first-windows")
+    before = scratch.written(before.select("k1", "k2", F.col("f.id").alias("fid"), F.col("f.th").alias("fth"), F.col("f.b").alias("fb")), "first-windows")
     itself = F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")) & (F.col("a") <= F.col("fb"))
-    later, _ = written(met.join(before, ["k1", "k2"]).where(~itself).select("id", "th", "a", "b", "first", "last"), "later-windows")
+    later = scratch.written(met.join(before, ["k1", "k2"]).where(~itself).select("id", "th", "a", "b", "first", "last"), "later-windows")
     # windows that overlap or follow each other are one run; repeated rows have the same windows
     later = later.groupBy("id", "th", "a").agg(F.max("b").alias("b"), F.min("first").alias("first"), F.max("last").alias("last"))
     order = W.partitionBy("id", "th").orderBy("a")
@@ -83,7 +87,7 @@ def without_runs(lines: str, runs: str) -> Column:
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, runs_col: str | None = None) -> DataFrame:
     """df with later repeated runs deleted from its texts; with runs_col also the deleted runs (null: none) under that name."""
     names = df.columns
-    rows = df.toDF(*[f"c{i}" for i in range(len(names))])
+    rows = numbered(df)
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     runs = repeated_runs(rows, key, text, min_words)
     out = rows.withColumn("th", F.xxhash64(text)).join(runs.select(F.col("id").alias("rid"), F.col("th").alias("rth"), "runs"), F.col(key).eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")

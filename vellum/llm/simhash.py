@@ -15,6 +15,7 @@ component's id unless all its ids are null; an empty table gives an empty result
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import map_rows, remove, table, utf8_values, written
+from .common import Scratch, map_rows, numbered, remove, table, utf8_values, written
 
 SEED = 42
 BITS = 64
@@ -45,13 +46,16 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.array([digest(joined[a:z], SEED) for a, z in zip(begins, ends[width - 1 :].tolist())], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """A bit is 1 if it is set in over half of the hashes."""
+def majority(hashes: np.ndarray, ties: int = 0) -> int:
+    """A bit is 1 if it is set in over half of the hashes, and as in ties if it is set in just half."""
     n, ones = hashes.size, np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
+    if not n:
+        return 0
+    over, half = (int(np.packbits(x, bitorder="little").view("<u8")[0]) for x in (2 * ones > n, 2 * ones == n))
+    return over | half & ties
 
 
 def _remix(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -63,14 +67,23 @@ def _remix(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, families: int = 1) -> DataFrame:
-    """id and fp (array of `families` signed 64-bit fingerprints), one row per input row."""
+def set_prints(hashes: np.ndarray, families: int) -> list[int]:
+    """Fingerprints of the *set* of hashes, whose bits differ as the sets do, however often a shingle is repeated.
+
+    Bits that just half of the hashes have are those of the least hash, so that few hashes give as many ones as zeros.
+    """
+    hashes = np.unique(hashes)
+    return [majority(x, int(x[0]) if x.size else 0) for x in (_remix(hashes, k) for k in range(families))]
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, families: int = 0) -> DataFrame:
+    """id and fp, one row per input row: the signed 64-bit fingerprint of all shingles, or with families as many of their set."""
 
     def run(batch: pa.RecordBatch) -> dict:
         rows = []
         for text in utf8_values(batch.column(1)):
             hashes = shingle_hashes(text, width)
-            rows.append(np.array([majority(_remix(hashes, k)) for k in range(families)], np.uint64).view(np.int64))
+            rows.append(np.array(set_prints(hashes, families) if families else [majority(hashes)], np.uint64).view(np.int64))
         return {"id": batch.column(0), "fp": pa.array(rows, pa.list_(pa.int64()))}
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -160,55 +173,98 @@ def op7_simhash_ball(spark, sf_dir) -> DataFrame:
 
 # Near-copies by similarity of word shingles: several shorter fingerprints, every candidate pair verified on its texts.
 
-FAMILIES, SHORT_BITS, WIDTH, SIMILARITY = 14, 30, 5, 0.8
+WIDTH, SIMILARITY = 5, 0.8
+#: Share of the pairs of just that similarity which shall meet, and what asking a pair that meets by chance costs, in emitted variants.
+RECALL, STRANGER_COST = 0.9, 16.0
+#: Variants that a text emits at once; the families are dealt over as many rounds as that takes, which bounds the shuffled bytes of a round.
+ROUND_ROWS = 128
 #: In a packed fingerprint the lowest six bits tell which bit is flipped; this value: none.
 UNFLIPPED = 63
 
 
-def packed(family, fp):
+def differing_share(least: float) -> float:
+    """Share of the bits in which fingerprints of two sets of Jaccard similarity `least` differ: by the angle between them."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def meeting_share(bits: int, share: float) -> float:
+    """Probability that two fingerprints of so many bits differ in at most two."""
+    return sum(math.comb(bits, k) * share**k * (1 - share) ** (bits - k) for k in range(3))
+
+
+def shape(texts: int, least: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """(bits, families) for a corpus of so many distinct texts: those of least work for a text at the same recall at every size.
+
+    Longer fingerprints take more families; but chance meetings with a fixed length would grow with the square of the corpus.
+    """
+
+    def families(bits: int) -> int:
+        return math.ceil(math.log(1 - recall) / math.log1p(-meeting_share(bits, differing_share(least))))
+
+    def work(bits: int) -> float:
+        return families(bits) * (bits + 1 + STRANGER_COST * texts * meeting_share(bits, 0.5))
+
+    bits = min(range(16, 49), key=work)
+    return bits, families(bits)
+
+
+def short_prints(bits: int, families: int, fp: str = "fp") -> list:
+    """The families' fingerprints of `bits` bits, cut one after the other from the 64-bit words of the column fp."""
+    out = []
+    for at in range(0, bits * families, bits):
+        word, start = divmod(at, 64)
+        value = F.shiftrightunsigned(F.col(fp)[word], start)
+        if start + bits > 64:
+            value = value.bitwiseOR(F.shiftleft(F.col(fp)[word + 1], 64 - start))
+        out.append(value.bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+    return out
+
+
+def packed(family: int, fp, bits: int):
     """Family, short fingerprint and UNFLIPPED in one number."""
-    return F.shiftleft(family.cast("long"), SHORT_BITS + 6).bitwiseOR(F.shiftleft(fp, 6)).bitwiseOR(F.lit(UNFLIPPED))
+    return F.lit(family << bits + 6).cast("long").bitwiseOR(F.shiftleft(fp, 6)).bitwiseOR(F.lit(UNFLIPPED))
 
 
-def meet_packed(keys: DataFrame) -> DataFrame:
-    """As meet, for packed fingerprints `x` and radius 2: (x, at, lo, hi) for each value `at` at which several x meet.
+def meet_packed(keys: DataFrame, bits: int) -> DataFrame:
+    """As meet, for packed fingerprints `x` and radius 2: (x, at, n) for each value `at` at which n > 1 of them meet.
 
-    lo and hi are the least and the greatest of those that meet there. A variant is one number, the flipped value and which
-    bit is flipped, so a row of the shuffle is little more than that.
+    A variant is one number, the flipped value and which bit is flipped, so a row of the shuffle is little more than that.
     """
-    masks = [0] + [(1 << j + 6) ^ UNFLIPPED ^ j for j in range(SHORT_BITS)]
+    masks = [0] + [(1 << j + 6) ^ UNFLIPPED ^ j for j in range(bits)]
     emitted = keys.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("_mask"), "x").select(F.col("x").bitwiseXOR(F.col("_mask")).alias("v"))
     emitted = emitted.withColumn("at", F.col("v").bitwiseAND(F.lit(-64).cast("long")))
     x = F.expr(f"CASE WHEN v & 63 = {UNFLIPPED} THEN v ELSE v ^ shiftleft(1L, CAST(v & 63 AS INT) + 6) ^ ({UNFLIPPED}L ^ (v & 63)) END")
-    spot = W.partitionBy("at")
-    met = emitted.withColumn("n", F.count("*").over(spot)).withColumn("x", x).withColumn("lo", F.min("x").over(spot)).withColumn("hi", F.max("x").over(spot))
-    return met.where("n > 1").select("x", "at", "lo", "hi")
+    return emitted.withColumn("n", F.count("*").over(W.partitionBy("at"))).where("n > 1").select(x.alias("x"), "at", "n")
 
 
 def first_pairs(met: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of each x with the least and with the greatest of those it meets: at most two, however large its group."""
-    ends = met.groupBy("x").agg(F.min(F.when(F.col("lo") != F.col("x"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("hi") != F.col("x"), F.col("hi"))).alias("hi"))
-    pairs = ends.select("x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("u")).where("u IS NOT NULL")
-    return pairs.select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct()
+    """Pairs (a, b), a < b, of each x with the x of most meetings at each of its values, and with the least: linear in met.
+
+    A text that many others are copies of meets more than they do, so it is asked for each of them, near to each other or not.
+    """
+    degrees = met.groupBy("x").agg(F.sum("n").alias("degree"))
+    hubs = met.join(degrees, "x").groupBy("at").agg(F.max(F.struct("degree", "x")).alias("hub"), F.min("x").alias("low"))
+    asked = met.select("x", "at").join(hubs.select("at", F.col("hub.x").alias("hub"), "low"), "at").select("x", F.explode(F.array("hub", "low")).alias("u")).where("u <> x")
+    return asked.select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct()
 
 
-def pairs_between(members: DataFrame) -> DataFrame:
+def pairs_between(members: DataFrame, scratch: Scratch) -> DataFrame:
     """All pairs (a, b), a < b, of the keys of members(at, key, root) that share an `at` and have different roots.
 
     The keys of a value's commonest root are only paired with its other keys, never with each other.
     """
     sizes = members.groupBy("at", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("at").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("at", F.col("m.root").alias("main"))
-    mixed, _ = written(mixed, "mixed-values")
-    others, _ = written(members.join(mixed, "at").where("root <> main").select("at", "main", F.col("key").alias("k"), F.col("root").alias("r")), "other-members")
+    mixed = scratch.written(mixed, "mixed-values")
+    others = scratch.written(members.join(mixed, "at").where("root <> main").select("at", "main", F.col("key").alias("k"), F.col("root").alias("r")), "other-members")
     pairs = others.join(members, "at").where("r <> root AND (root = main OR k < key)")
     return pairs.select(F.least("k", "key").alias("a"), F.greatest("k", "key").alias("b")).distinct()
 
 
 def most_differing(bits: int, least: float) -> int:
-    """Differing bits that two texts of similarity `least` exceed once in 30,000 pairs."""
-    share = math.acos(2 * least / (1 + least)) / math.pi
-    return math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
+    """Differing bits that two texts of similarity `least` exceed once in 10 ** 9 pairs: six standard deviations more than the mean."""
+    share = differing_share(least)
+    return math.ceil(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
 
 
 def shingle_set(text: bytes, width: int) -> set[bytes]:
@@ -228,27 +284,40 @@ def text_key(text):
     return F.md5(F.when(F.btrim(whole, F.lit(" \t\n\x0b\x0c\r")) == "", "").otherwise(whole))
 
 
-def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY, families: int = FAMILIES) -> DataFrame:
+def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(key, root) of distinct texts: key is the text's md5, root that of its group (only texts linked to another).
 
     Two texts of similarity 0.8 differ in about 10 of 64 bits, beyond any ball that can be emitted. So each text has
-    `families` fingerprints of 30 bits; texts that meet in any family within two bits are candidates. A pair links if the
-    similarity of its word shingles is at least `least`; pairs whose fingerprints differ too much in all are not asked.
+    several shorter fingerprints of the set of its shingles (`shape`); texts that meet in any family within two bits are candidates.
+    A pair links if the similarity of its word shingles is at least `least`; pairs whose fingerprints differ too much in all
+    (`most_differing`) are not asked.
 
     First few pairs of each text are asked, which links most copies. Then all pairs that meet and are not yet in one group
     are, so the groups are those of all candidates, while the members of a large group are not compared with each other.
     """
-    wide = -(-families // 2)
-    own = df.select(text_key(df[text_col]).alias("key"), df[text_col].alias("text"))
-    prints, _ = written(fingerprints(own, "key", "text", width, wide).groupBy("key").agg(F.min("fp").alias("fp")), "prints")
-    short = F.lit((1 << SHORT_BITS) - 1).cast("long")
-    halves = [F.shiftrightunsigned(F.col("fp")[k // 2], 32 * (k % 2)).bitwiseAND(short) for k in range(families)]
-    spots = prints.select("key", F.explode(F.array(*[packed(F.lit(k), h) for k, h in enumerate(halves)])).alias("x"))
-    values, _ = written(spots.groupBy("x").agg(F.count("*").alias("c")), "family-prints")
-    met, _ = written(meet_packed(values.select("x")), "meeting")
-    live = values.where("c > 1").select("x").unionByName(met.select("x")).distinct()
-    here, _ = written(spots.join(live, "x", "left_semi"), "live-prints")
-    lows, _ = written(here.groupBy("x").agg(F.min("key").alias("low")), "family-lows")
+    spark = df.sparkSession
+    with Scratch(spark) as scratch:
+        own = df.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+        texts = scratch.written(own.select("key").distinct(), "text-keys").count()
+        bits, families = shape(texts, least, recall)
+        words = -(-bits * families // 64)
+        prints = scratch.written(fingerprints(own, "key", "text", width, words).groupBy("key").agg(F.min("fp").alias("fp")), "prints")
+        spots = [packed(k, p, bits) for k, p in enumerate(short_prints(bits, families))]
+        a_round, met, here = max(1, ROUND_ROWS // (bits + 1)), [], []
+        for at in range(0, families, a_round):
+            with Scratch(spark) as short_lived:
+                spot = prints.select("key", F.explode(F.array(*spots[at : at + a_round])).alias("x"))
+                values = short_lived.written(spot.groupBy("x").agg(F.count("*").alias("c")), "family-prints")
+                met.append(scratch.written(meet_packed(values.select("x"), bits), "meeting"))
+                live = values.where("c > 1").select("x").unionByName(met[-1].select("x")).distinct()
+                here.append(scratch.written(spot.join(live, "x", "left_semi"), "live-prints"))
+            spark._jvm.System.gc()  # a round's shuffle files go when the driver has forgotten its plan
+        return _groups(scratch, own, prints, functools.reduce(DataFrame.unionByName, met), functools.reduce(DataFrame.unionByName, here), width, least, 64 * words)
+
+
+def _groups(scratch: Scratch, own: DataFrame, prints: DataFrame, met: DataFrame, here: DataFrame, width: int, least: float, all_bits: int) -> DataFrame:
+    """copy_groups, from the values at which packed fingerprints meet, met(x, at, n), and the texts that have them, here(key, x)."""
+    lows = scratch.written(here.groupBy("x").agg(F.min("key").alias("low")), "family-lows")
 
     def ordered(a, b):
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -257,49 +326,51 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         """The pairs (a, b) of keys that are similar."""
         of = lambda n, f: prints.select(F.col("key").alias(n), F.col("fp").alias(f))
         differing = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        asked, _ = written(pairs.join(of("a", "fa"), "a").join(of("b", "fb"), "b").where(differing <= most_differing(64 * wide, least)).select("a", "b"), "close-candidates")
-        wanted, _ = written(asked.select(F.col("a").alias("key")).unionByName(asked.select(F.col("b").alias("key"))).distinct(), "candidate-keys")
+        asked = scratch.written(pairs.join(of("a", "fa"), "a").join(of("b", "fb"), "b").where(differing <= most_differing(all_bits, least)).select("a", "b"), "close-candidates")
+        wanted = scratch.written(asked.select(F.col("a").alias("key")).unionByName(asked.select(F.col("b").alias("key"))).distinct(), "candidate-keys")
         # where few texts are asked for, Spark's size check sends their keys out and no text is shuffled; else it can split the
         # join of a large group of copies, as nothing but the written table stands above it
-        texts, _ = written(own.join(wanted, "key", "left_semi"), "candidate-rows")
-        texts, _ = written(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
+        texts = scratch.written(own.join(wanted, "key", "left_semi"), "candidate-rows")
+        texts = scratch.written(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
         both = asked.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
         def verify(batch: pa.RecordBatch) -> dict:
             near = [similarity(x, y, width) >= least for x, y in zip(utf8_values(batch.column(2)), utf8_values(batch.column(3)))]
             return {"a": batch.column(0), "b": batch.column(1), "near": near}
 
-        return map_rows(both, verify, "a string, b string, near boolean").where("near").select("a", "b")
+        return scratch.written(map_rows(both, verify, "a string, b string, near boolean").where("near").select("a", "b"), "links")
 
     equal = here.join(lows, "x").where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
     low_a, low_b = lows.select(F.col("x").alias("a"), F.col("low").alias("key_a")), lows.select(F.col("x").alias("b"), F.col("low").alias("key_b"))
     close = first_pairs(met).join(low_a, "a").join(low_b, "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    first, _ = written(equal.unionByName(close).where("a <> b").select(*ordered("a", "b")).distinct(), "candidates")
-    groups, _ = written(components(links(first)).withColumnRenamed("node", "key"), "first-groups")
+    first = scratch.written(equal.unionByName(close).where("a <> b").select(*ordered("a", "b")).distinct(), "candidates")
+    groups, _ = written(components(links(first)).withColumnRenamed("node", "key"), "copy-groups")
 
-    rooted, _ = written(here.join(groups, "key", "left").select("x", "key", F.coalesce("root", "key").alias("root")), "rooted")
+    rooted = scratch.written(here.join(groups, "key", "left").select("x", "key", F.coalesce("root", "key").alias("root")), "rooted")
     # texts of one value share that value itself, whose lowest bits no meeting value has
     members = rooted.join(met.select("x", "at"), "x").select("at", "key", "root").unionByName(rooted.select(F.col("x").alias("at"), "key", "root"))
-    members, _ = written(members, "members")
-    rest, _ = written(pairs_between(members).join(first, ["a", "b"], "left_anti"), "other-candidates")
-    if rest.limit(1).count():
-        stars = groups.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))
-        groups = components(stars.unionByName(links(rest))).withColumnRenamed("node", "key")
-    return groups
+    members = scratch.written(members, "members")
+    rest = scratch.written(pairs_between(members, scratch).join(first, ["a", "b"], "left_anti"), "other-candidates")
+    if not rest.limit(1).count():
+        return groups
+    stars = groups.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))
+    return written(components(stars.unionByName(links(rest))).withColumnRenamed("node", "key"), "copy-groups")[0]
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """df with one document of each group: that of the smallest id (then of the first text hash); equal texts are a group.
 
-    Texts without words are one group. Columns that begin with `_vs_` are reserved.
+    Texts without words are one group. Of rows that repeat both id and text the one with the least hash of its other columns stays.
     """
-    key = text_key(df[text_col])
-    ids = df.select(df[id_col].alias("id"), key.alias("key")).groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("low"))
-    groups = copy_groups(df, id_col, text_col, width, least)
+    names, rows = df.columns, numbered(df)
+    id_col, text_col = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    key = text_key(F.col(text_col))
+    ids = rows.select(F.col(id_col).alias("id"), key.alias("key")).groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("low"))
+    groups = copy_groups(rows, id_col, text_col, width, least)
     rooted = ids.join(groups, "key", "left").select("key", "low", F.coalesce("root", "key").alias("root"))
-    stay = rooted.groupBy("root").agg(F.min(F.struct("low.none", "low.id", "key")).alias("s")).select(F.col("s.key").alias("_vs_key"), F.col("s.id").alias("_vs_id"))
+    stay = rooted.groupBy("root").agg(F.min(F.struct("low.none", "low.id", "key")).alias("s")).select(F.col("s.key").alias("skey"), F.col("s.id").alias("sid"))
     stay, _ = written(stay, "stay")
-    rows = df.withColumn("_vs_own", key).join(stay, (F.col("_vs_own") == F.col("_vs_key")) & df[id_col].eqNullSafe(F.col("_vs_id")))
-    # rows that repeat both id and text are copies as well
-    rows = rows.withColumn("_vs_n", F.row_number().over(W.partitionBy("_vs_own").orderBy(F.lit(0)))).where("_vs_n = 1")
-    return rows.select(*df.columns)
+    kept = rows.withColumn("own", key).join(stay, (F.col("own") == F.col("skey")) & F.col(id_col).eqNullSafe(F.col("sid")))
+    others = F.to_json(F.struct(F.lit(0).alias("none"), *[c for c in rows.columns if c not in (id_col, text_col)]))
+    kept = kept.withColumn("nth", F.row_number().over(W.partitionBy("own").orderBy(F.xxhash64(others)))).where("nth = 1")
+    return kept.select(*[F.col(c).alias(n) for c, n in zip(rows.columns, names)])
