@@ -64,23 +64,58 @@ def test_nnpu_separates():
 # 2
 
 
+def brute_feature(payload):
+    values = list(payload)
+    mean = sum(values) / len(values)
+    spread = math.sqrt(sum(v * v for v in values) / len(values) - mean * mean)
+    shares = [sum(k * 32 <= v < k * 32 + 32 for v in values) * 1000 // len(values) for k in range(8)]
+    return f"192x{len(values) // 192}x8;mean={mean:.3f};std={spread:.3f};hist={','.join(map(str, shares))}"
+
+
 def test_media_round_trip(spark, odd):
+    import posixpath
+
     root = fresh(spark, "media-test")
-    index, _ = written(media.store(odd, root), "media-test-index")
-    out = media.read_payloads(media.fill_metadata(index, root), root)
+    rows, entries = media.store(odd.repartition(3), root)
+    with_heads, _ = written(media.fill_metadata(media.by_address(entries, 1000), root), "media-test-entries")
+    out = rows.join(media.read_payloads(with_heads, root), "digest")
     want = Counter()
     for i, t in ODD:
         raw = (t or "").encode()
         payload = raw + b" " * ((-len(raw) % 192) or (0 if raw else 192))
-        want[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])] += 1
+        want[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), brute_feature(payload)] += 1
     got = out.collect()
-    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in got) == want
     assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})
-    for r in index.collect():
-        assert media.read_entry(root, r.shard, r.offset, r.length).rstrip(b" ") == dict((hashlib.sha256(media.pad((t or "").encode())).hexdigest(), (t or "").encode()) for _, t in ODD)[r.digest].rstrip(b" ")
+    stored = with_heads.collect()
+    assert len(stored) == len({bytes(r.digest) for r in stored}) == len({k[3] for k in want})  # one entry for each payload
+    for r in media.addressed(rows, entries).collect():
+        assert hashlib.sha256(media.read_entry(root, r.shard, r.offset, r.length)).digest() == bytes(r.digest)
         with media.as_tar(root, r.shard) as tar:
-            assert len(tar.extractfile(f"{r.digest}.png").read()) == r.length
-    assert media.store(empty(odd), root).count() == 0
+            assert len(tar.extractfile(f"{bytes(r.digest).hex()}.png").read()) == r.length
+    assert all(c.count() == 0 for c in media.store(empty(odd), root))
+    files, folder = media._filesystem(root)
+    files.create_dir(folder, recursive=True)
+    with files.open_output_stream(posixpath.join(folder, "lost-attempt.tar")) as f:
+        f.write(b"half")
+    _, entries = media.store(odd, root)
+    from pyarrow import fs
+
+    assert {posixpath.basename(x.path) for x in files.get_file_info(fs.FileSelector(folder))} == {r.shard for r in entries.collect()}
+
+
+def test_payloads_that_nobody_stored_are_dealt_out_again(spark, odd, monkeypatch):
+    """A second pass that is dealt out otherwise than the first still stores every payload once."""
+    whole, calls = media.digests, []
+
+    def elsewhere(*args):
+        calls.append(1)
+        found = whole(*args)
+        return found.withColumn("part", F.col("part") + 77) if len(calls) == 1 else found
+
+    monkeypatch.setattr(media, "digests", elsewhere)
+    rows, entries = media.store(odd, fresh(spark, "media-again"))
+    assert len(calls) == 2 and entries.count() == rows.select("digest").distinct().count() == rows.join(entries, "digest", "left_semi").select("digest").distinct().count()
 
 
 # 3
@@ -141,6 +176,22 @@ def test_token_counts_are_the_librarys(spark, odd, texts, library):
     assert tokencount.count_tokens(empty(odd), tokencount.tokenizer_file()).count() == 0
 
 
+def test_answers_from_stored_counts(spark, odd, library):
+    rng = np.random.default_rng(12)
+    texts = [t or "" for _, t in ODD if len(t or "") < 50_000]
+    df = spark.createDataFrame([(k, t, int(b), int(c)) for k, (t, b, c) in enumerate(zip(texts * 3, rng.integers(0, 12, 99), rng.integers(0, 30, 99)))], "k int, text string, budget int, chars int")
+    counted = tokencount.count_tokens(df, tokencount.tokenizer_file(), "k").join(df.drop("text"), "k")
+    size = lambda t: len(library.encode(t, add_special_tokens=False))
+    for r in tokencount.tokens_of_prefixes(counted, "chars", "k").collect():
+        assert r.tokens == size(texts[r.k % len(texts)][: r.chars])
+    for r in tokencount.fit_budgets(counted, "budget", "k").collect():
+        t = texts[r.k % len(texts)]
+        assert size(t[: r.fit_chars]) <= r.budget and (r.fit_chars == len(t) or len(t) > 200 or all(size(t[:j]) > r.budget for j in range(r.fit_chars + 1, len(t) + 1)))
+    for steps in ([], [1, 0, 1], [200, -300], [70_000], [1 << 40]):
+        counts = np.concatenate([[0], np.cumsum(np.array(steps, np.int64))])
+        assert tokencount.unpack_counts(tokencount.pack_counts(counts)).tolist() == counts.tolist()
+
+
 def test_every_prefix(library):
     import random
 

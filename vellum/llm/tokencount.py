@@ -4,7 +4,8 @@ For byte-level BPE the last token of a prefix's encoding is the only token t tha
 token of the prefix without t. So one pass from left to right gives, for every prefix, its last token and its count:
 count[i] = count[i - len(t)] + 1. Tokens never cross the pieces that the pre-tokenizer cuts, so the pass runs once per
 distinct piece and its counts are kept in the worker; a text's prefix counts are the running sum of its pieces' count
-*differences*. From these, truncation to a budget and the count of any prefix are look-ups.
+*differences*. From these, truncation to a budget and the count of any prefix are look-ups. The query stores them with
+each text, and `fit_budgets` and `tokens_of_prefixes` answer from what is stored.
 
 A piece here is a pre-tokenizer piece, but a run of white space of two or more is joined with the piece after it, since
 cutting a text inside such a run changes how the run is cut; so counts hold for the prefix encoded on its own.
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_rows, table, worker_cache
 
@@ -171,7 +173,7 @@ class PrefixCounter:
                 joined = np.cumsum(np.frombuffer(b"".join(self._ordinary(tail + part)), np.int16), dtype=np.int64)
                 before = int(np.frombuffer(b"".join(self._ordinary(tail)), np.int16).sum())
                 inner = np.append(joined[len(tail) : -1] - before, 1)
-                deltas.append(np.diff(inner, prepend=0).astype(np.int16).tobytes())
+                deltas.append(array("h", np.diff(inner, prepend=0).tolist()).tobytes())  # raises where 16 bits don't hold a difference
         return np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(deltas), np.int16), dtype=np.int64)])
 
 
@@ -185,6 +187,18 @@ def tokens_between(counts: np.ndarray, start: int, end: int) -> int:
     return int(counts[end] - counts[start])
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Prefix counts as a byte that tells the width and the differences from prefix to prefix, mostly a byte each."""
+    steps = np.diff(counts)
+    width = next(w for w in (1, 2, 4, 8) if not steps.size or np.abs(steps).max() < 1 << 8 * w - 1)
+    return bytes([width]) + steps.astype(f"<i{width}").tobytes()
+
+
+def unpack_counts(stored: bytes) -> np.ndarray:
+    """The token count of every prefix, from the empty one on."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(stored, f"<i{stored[0]}", offset=1), dtype=np.int64)])
+
+
 def counter_of(file: str) -> PrefixCounter:
     """The counter of a tokenizer file, made once in each worker."""
     cache = worker_cache()
@@ -200,12 +214,11 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
         return f.read()
 
 
-def count_tokens(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, store_prefixes: bool = False) -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit, fit_chars (characters of the longest prefix within limit) for each row.
+def count_tokens(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, store_prefixes: bool = True) -> DataFrame:
+    """id, n_bytes, n_tokens, over_limit, fit_chars (characters of the longest prefix within limit) and prefix_steps for each row.
 
-    With store_prefixes also `prefix_tokens`, the count at every character prefix (array<int>), for later questions in SQL:
-    `element_at(prefix_tokens, n + 1)` is the count of the first n characters. file is the tokenizer's JSON, a constant of
-    about 1.5 MB that goes out once as a broadcast variable.
+    prefix_steps holds the count at every character prefix (`unpack_counts`), about as large as the text; the answers below
+    come from it alone. file is the tokenizer's JSON, a constant of about 1.5 MB that goes out once as a broadcast variable.
     """
     shipped = df.sparkSession.sparkContext.broadcast(file)
 
@@ -219,13 +232,38 @@ def count_tokens(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str
             n_tokens.append(int(counts[-1]))
             fits.append(len(text) if counts[-1] <= limit and counts.max() <= limit else truncate(counts, limit))
             if store_prefixes:
-                stored.append(counts.astype(np.int32))
+                stored.append(pack_counts(counts))
         out = {"id": batch.column(0), "n_bytes": n_bytes, "n_tokens": n_tokens, "over_limit": [n > limit for n in n_tokens], "fit_chars": fits}
-        return out | ({"prefix_tokens": pa.array(stored, pa.list_(pa.int32()))} if store_prefixes else {})
+        return out | ({"prefix_steps": pa.array(stored, pa.binary())} if store_prefixes else {})
 
     kind = df.schema[id_col].dataType.simpleString()
-    ddl = f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<int>" * store_prefixes
-    return map_rows(df.select(df[id_col].alias("id"), df[text_col].alias("text")), run, ddl).withColumnRenamed("id", id_col)
+    ddl = f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_steps binary" * store_prefixes
+    return map_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, ddl).withColumnRenamed("id", id_col)
+
+
+def fit_budgets(counted: DataFrame, budget_col: str, id_col: str = "doc_id") -> DataFrame:
+    """id, budget and fit_chars (characters of the longest prefix of at most budget tokens), from stored prefix counts; nothing is encoded again."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        fits = [truncate(unpack_counts(steps), budget) if budget is not None else None for budget, steps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        return {"id": batch.column(0), "budget": batch.column(1), "fit_chars": pa.array(fits, pa.int64())}
+
+    kind = counted.schema[id_col].dataType.simpleString()
+    return map_rows(counted.select(F.col(id_col).alias("id"), F.col(budget_col).cast("long").alias("budget"), "prefix_steps"), run, f"id {kind}, budget long, fit_chars long").withColumnRenamed("id", id_col)
+
+
+def tokens_of_prefixes(counted: DataFrame, chars_col: str, id_col: str = "doc_id") -> DataFrame:
+    """id, chars and tokens of the text's first chars characters (all of it, if it has fewer), from stored prefix counts."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out = []
+        for chars, steps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            counts = unpack_counts(steps)
+            out.append(None if chars is None else int(counts[min(max(chars, 0), counts.size - 1)]))
+        return {"id": batch.column(0), "chars": batch.column(1), "tokens": pa.array(out, pa.int64())}
+
+    kind = counted.schema[id_col].dataType.simpleString()
+    return map_rows(counted.select(F.col(id_col).alias("id"), F.col(chars_col).cast("long").alias("chars"), "prefix_steps"), run, f"id {kind}, chars long, tokens long").withColumnRenamed("id", id_col)
 
 
 def op4_prefix_tokens(spark, sf_dir) -> DataFrame:
