@@ -61,6 +61,47 @@ def test_nnpu_separates():
     assert np.mean([f(x) > 0 for x in toxic[100:]]) > 0.9 and np.mean([f(x) > 0 for x in clean]) < 0.05
 
 
+def test_risk_and_gradient_against_plain_ones():
+    rng, signs = np.random.default_rng(2), set()
+    for _ in range(60):
+        n_pos, n_unl, prior = rng.integers(1, 6), rng.integers(1, 9), rng.uniform(0.05, 0.9)
+        a, b = rng.dirichlet(np.ones(n_pos)), rng.dirichlet(np.ones(n_unl))
+        f = rng.normal(0, 3, n_pos + n_unl)
+        loss = lambda y, x: -math.log(1 / (1 + math.exp(-x if y else x)))
+
+        def parts(f):
+            pos = prior * sum(w * loss(1, x) for w, x in zip(a, f[:n_pos]))
+            return pos, sum(w * loss(0, x) for w, x in zip(b, f[n_pos:])) - prior * sum(w * loss(0, x) for w, x in zip(a, f[:n_pos]))
+
+        risk, bracket, g = toxicity.nn_risk(f, a, b, prior)
+        pos, want = parts(f)
+        assert abs(bracket - want) < 1e-9 and abs(risk - pos - max(0, want)) < 1e-9
+        if abs(want) < 1e-4:
+            continue
+        signs.add(want > 0)
+        step = 1e-6
+        for k in range(len(f)):
+            up, down = f.copy(), f.copy()
+            up[k] += step
+            down[k] -= step
+            # below zero the step goes against the bracket alone
+            slope = (sum(parts(up)) - sum(parts(down))) / 2 / step if want > 0 else (parts(down)[1] - parts(up)[1]) / 2 / step
+            assert abs(g[k] - slope) < 1e-5
+    assert signs == {True, False}
+
+
+def test_fit_lowers_the_risk():
+    rng = np.random.default_rng(3)
+    positive = [np.unique(np.append(rng.integers(100, 400, 20), [5, 6])) for _ in range(80)]
+    unlabelled = [np.unique(rng.integers(100, 400, 20)) for _ in range(300)] + positive[:20]
+    risks = []
+    for steps in (0, 20, 200):
+        w, b = toxicity.fit_nnpu(positive, unlabelled, 0.1, steps=steps)
+        f = np.array([b + w[x].sum() for x in positive + unlabelled])
+        risks.append(toxicity.nn_risk(f, np.full(80, 1 / 80), np.full(320, 1 / 320), 0.1)[0])
+    assert risks[0] > risks[1] > risks[2] >= 0
+
+
 # 2
 
 
@@ -719,11 +760,42 @@ def test_mix_meets_targets(spark, sf, odd, bucket_docs):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mix_in_the_order_of_the_keys(spark, sf):
+    """Copies of each document from the sorted keys -log(u) / weight and plain running sums; keys drawn by the same hash."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "source", mixing.uniform(F.col("doc_id").cast("string"), F.col("text")).alias("u"), "text").collect()
+    symbols = lambda t: sum(t.count(c) for c in mixing.SYMBOLS) / max(1, len(t))
+    weight = lambda t: 4.0 if symbols(t) <= 0.01 else 2.0 if symbols(t) <= 0.05 else 1.0
+    sizes, by_source = Counter(), defaultdict(list)
+    for r in rows:
+        n = len(r.text.encode().split())
+        sizes[r.source] += n
+        by_source[r.source].append((-math.log(r.u) / weight(r.text), r.doc_id, n))
+    want = {}
+    for source, target in brute_targets(dict(sizes)).items():
+        epochs = int(target // sizes[source])
+        rest, upto = target - epochs * sizes[source], 0
+        for _, i, n in sorted(by_source[source]):
+            more = upto + n <= rest or (upto < rest and upto + n - rest < rest - upto)
+            want[i] = epochs + more
+            upto += n
+    for bucket_docs in (5, 4000):
+        got = {r.doc_id: r.copies for r in mixing.mix(docs, bucket_docs=bucket_docs).collect()}
+        assert got == want
+    assert len(set(want.values())) > 1
+
+
 def test_quality_weighs_the_sample(spark):
     rows = [(i, "good words " * 5, "s") for i in range(2000)] + [(5000 + i, "# $ % " * 4 + "bad words " * 2, "s") for i in range(2000)] + [(10_000 + i, "x " * 30, "t") for i in range(3000)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 5)).collect()
     mean = lambda lo, hi: np.mean([r.copies for r in got if lo <= r.doc_id < hi])
-    assert mean(0, 2000) >= mean(5000, 7000)
+    assert 0 < mean(5000, 7000) < mean(0, 2000) - 0.2
+
+
+def test_too_many_sources_are_refused(spark, odd, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    with pytest.raises(ValueError):
+        mixing.mix(odd)
 
 
 # Shared storage

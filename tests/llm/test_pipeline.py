@@ -61,10 +61,10 @@ def test_packing_holds_the_mix(stages):
 def test_odd_tables(spark, sf):
     text = "some words that make a line of text which is long enough to count\nand another"
     rows = [(1, text, "en", "a", 5, "k"), (1, text, "en", "a", 5, "k"), (None, None, None, None, None, None), (2, "", "en", "b", 0, "k"), (3, "word " * 30_000, "en", None, 1, None), (4, text + " tail", "de", "a", 2, "k")]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `own.copies` string"
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         for name, f in cp.STAGES[:-1]:
             docs = f(spark, docs, sf)
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"], name
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "own.copies"], name
             docs = spark.createDataFrame(docs.collect(), schema)
         cp.STAGES[-1][1](spark, docs, sf).collect()

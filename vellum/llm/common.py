@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Words of every contract: runs of bytes that are neither a space nor \t \n \v \f \r. `bytes.split()` gives the same.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,6 +86,12 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def one_of_each(rows: DataFrame, keys: list[str], own: list[str]) -> DataFrame:
+    """One row for each value of keys, of several always the one whose columns `own` hash least."""
+    order = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("none"), *own)))
+    return rows.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("nth = 1").drop("nth")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -10,7 +10,8 @@ source's size, sums of buckets give the bucket in which the target is met, and o
 
 Cases: a null source is a source of its own, last in order; null and empty texts have size 0 and are taken in name only
 (0 words); ties of keys are broken by id, then text hash; repeated rows (same id and text) share a key and follow each other;
-an empty table gives an empty result; a table without words has targets of 0; other input columns may have any name.
+an empty table gives an empty result; a table without words has targets of 0; more than MAX_SOURCES sources are an error; other
+input columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SHARE, MOST = 1.5, 2.0
 SEED = 20240601
 #: Documents that a bucket of keys should hold.
 BUCKET_DOCS = 4000
+#: Targets are found in one task, with a row for each source; more sources than this are refused, not cut.
+MAX_SOURCES = 1_000_000
 SYMBOLS = "#*$%&|<>"
 #: Quality weights, the rates of the exponential keys.
 CLASSES = (4.0, 2.0, 1.0)
@@ -63,12 +66,15 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """id, text_hash, source, size, source_size, target, copies and taken (copies * size) for each row of df."""
-    text = df[text_col]
-    docs = df.select(df[id_col].alias("id"), F.xxhash64(text).alias("text_hash"), df[source_col].cast("string").alias("source"), word_count(text).alias("size"), uniform(df[id_col].cast("string"), text).alias("u"), quality_weight(text).alias("q"))
+    text = F.col(text_col)
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), uniform(F.col(id_col).cast("string"), text).alias("u"), quality_weight(text).alias("q"))
     docs, _ = written(docs.select("id", "text_hash", "source", "size", "q", (-F.log("u") / F.col("q")).alias("key")), "mix-sizes")
     same = F.col("source").eqNullSafe(F.col("s"))
     by_class = [F.avg((F.col("q") == w).cast("double")).alias(f"share{k}") for k, w in enumerate(CLASSES)]
     goal = targets(docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"), *by_class), weights, share, most)
+    goal, _ = written(goal, "mix-sources")
+    if (n := goal.count()) > MAX_SOURCES:
+        raise ValueError(f"{n} sources; targets are for at most {MAX_SOURCES}, so group them first")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     goal, _ = written(goal.withColumn("buckets", F.ceil(F.col("n") / bucket_docs).cast("long")).withColumnRenamed("source", "s"), "mix-targets")

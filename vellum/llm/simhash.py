@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, map_rows, numbered, remove, table, utf8_values, written
+from .common import Scratch, map_rows, numbered, one_of_each, remove, table, utf8_values, written
 
 SEED = 42
 BITS = 64
@@ -371,6 +371,5 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     stay = rooted.groupBy("root").agg(F.min(F.struct("low.none", "low.id", "key")).alias("s")).select(F.col("s.key").alias("skey"), F.col("s.id").alias("sid"))
     stay, _ = written(stay, "stay")
     kept = rows.withColumn("own", key).join(stay, (F.col("own") == F.col("skey")) & F.col(id_col).eqNullSafe(F.col("sid")))
-    others = F.to_json(F.struct(F.lit(0).alias("none"), *[c for c in rows.columns if c not in (id_col, text_col)]))
-    kept = kept.withColumn("nth", F.row_number().over(W.partitionBy("own").orderBy(F.xxhash64(others)))).where("nth = 1")
+    kept = one_of_each(kept, ["own"], [c for c in rows.columns if c not in (id_col, text_col)])
     return kept.select(*[F.col(c).alias(n) for c, n in zip(rows.columns, names)])

@@ -64,6 +64,23 @@ def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndar
     return np.flatnonzero((np.abs(z) >= MIN_Z) & (seen[0] + seen[1] >= MIN_TEXTS))
 
 
+def nn_risk(f: np.ndarray, of_pos: np.ndarray, of_unl: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(risk, bracket, gradient by f) of scores f, first of the positives, then of the unlabelled texts, with row weights that sum to 1 in each.
+
+    The risk takes the bracket as 0 where it is negative; there the gradient is that of minus the bracket, which leads back.
+    """
+    n_pos = len(of_pos)
+    q = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    against, towards = np.logaddexp(0, f), np.logaddexp(0, -f)  # the loss of 0 and of 1
+    bracket = (of_unl * against[n_pos:]).sum() - prior * (of_pos * against[:n_pos]).sum()
+    risk = prior * (of_pos * towards[:n_pos]).sum() + max(0.0, bracket)
+    if bracket >= 0:
+        g = np.concatenate([prior * of_pos * (q[:n_pos] - 1) - prior * of_pos * q[:n_pos], of_unl * q[n_pos:]])
+    else:
+        g = np.concatenate([prior * of_pos * q[:n_pos], -of_unl * q[n_pos:]])
+    return risk, bracket, g
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, steps: int = STEPS, kept: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """(weights over BUCKETS, bias) of one classifier over the features in kept. The samples are lists of feature arrays."""
     rows = [*positive, *unlabelled]
@@ -82,16 +99,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
         f = b + np.bincount(row_of, weights=w[column], minlength=n)
-        q = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        soft = np.logaddexp(0, f)  # loss against 0
-        bracket = (of_unl * soft[n_pos:]).sum() - prior * (of_pos * soft[:n_pos]).sum()
-        g = np.zeros(n)
-        if bracket >= 0:
-            g[:n_pos] = prior * of_pos * (q[:n_pos] - 1) - prior * of_pos * q[:n_pos]
-            g[n_pos:] = of_unl * q[n_pos:]
-        else:
-            g[:n_pos] = prior * of_pos * q[:n_pos]
-            g[n_pos:] = -of_unl * q[n_pos:]
+        g = nn_risk(f, of_pos, of_unl, prior)[2]
         gw = np.bincount(column, weights=g[row_of], minlength=kept.size) + DECAY * w
         gb = g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -127,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = min(MOST_PRIOR, max(LEAST_PRIOR, toxic / n if n else 0))
     if not toxic:
         return []
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     here = texts.select("id").where(F.col("id").isNotNull() & (fold(F.col("id")) != HELD_OUT))
     positive = _sample(marks.where("toxic = 1").join(here, "id", "left_semi"), max_positive).withColumn("pos", F.lit(1))
     sample = _hashed(texts, positive.unionByName(_sample(here, max_unlabelled).withColumn("pos", F.lit(0))))
