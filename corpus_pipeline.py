@@ -3,8 +3,8 @@
 STAGES are functions of (spark, docs, sf_dir). Each result is written as Parquet and read again as the next one's docs. All
 but the last return the columns of documents; each works on all that its predecessor kept.
 
-Cases, beyond those of the operators: extra columns of docs pass through all filtering stages whatever their names; an
-empty table passes through all stages; a null text passes toxicity and line dedup as it is, counts as a text without words
+Cases, beyond those of the operators: extra columns of docs pass through all filtering stages whatever their names (the
+operators work on numbered columns); of rows that differ in extra columns only always the same one stays; an empty table passes through all stages; a null text passes toxicity and line dedup as it is, counts as a text without words
 in near-dedup (one of those stays), and takes no part in mixing, which returns documents that the mix takes at least once.
 """
 
@@ -14,21 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import linededup, mixing, packing, simhash, toxicity
-from vellum.llm.common import table, word_count, written
+from vellum.llm.common import numbered, one_of_each, table, word_count, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 1 predicts as toxic go."""
     models = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    scored = toxicity.score(docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]), models, f"c{names.index('doc_id')}", f"c{names.index('text')}", keep=tuple(f"c{i}" for i in range(len(names))))
+    names, rows = docs.columns, numbered(docs)
+    scored = toxicity.score(rows, models, f"c{names.index('doc_id')}", f"c{names.index('text')}", keep=tuple(rows.columns))
     return scored.where("predicted = 0").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines are deleted from the texts (operator 8); documents stay, n_chars follows."""
-    out = linededup.dedup_lines(docs)
-    return out.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    out, names = numbered(linededup.dedup_lines(docs)), docs.columns
+    kinds = dict(zip(names, docs.schema.fields))
+    length = F.length(f"c{names.index('text')}")
+    return out.select(*[(length.cast(kinds[n].dataType) if n == "n_chars" else F.col(c)).alias(n) for c, n in zip(out.columns, names)])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +40,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (operator 10)."""
-    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("_vm_id"), F.col("text_hash").alias("_vm_hash"), F.col("source").alias("_vm_source")).agg(F.sum("copies").alias("_vm_copies")).where("_vm_copies > 0")
+    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("source").alias("of")).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    names, rows = docs.columns, numbered(docs)
+    i, text, source = (f"c{names.index(n)}" for n in ("doc_id", "text", "source"))
     # rows that agree in id, text and source are one document here; the mix has added up their copies
-    once = docs.withColumn("_vm_own", F.xxhash64("text")).dropDuplicates(["doc_id", "_vm_own", "source"])
-    found = once.join(mixed, F.col("doc_id").eqNullSafe(F.col("_vm_id")) & (F.col("_vm_own") == F.col("_vm_hash")) & F.col("source").eqNullSafe(F.col("_vm_source")))
-    return found.withColumn("_vm_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_vm_copies")))).select(*docs.columns)
+    once = one_of_each(rows.withColumn("own", F.xxhash64(text)), [i, "own", source], [c for c in rows.columns if c not in (i, text, source)])
+    found = once.join(mixed, F.col(i).eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")) & F.col(source).eqNullSafe(F.col("of")))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(c).alias(n) for c, n in zip(rows.columns, names)])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each run of words of each document lies in the training sequences (operator 5)."""
-    sized = docs.select("doc_id", word_count(docs["text"]).alias("size"), F.xxhash64("text").alias("salt"))
+    sized = docs.select("doc_id", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("salt"))
     return packing.pack_documents(sized, salt=F.col("salt"))
 
 
