@@ -11,7 +11,7 @@ from vellum import sinks, sources
 from vellum.operators import layout
 from vellum.plans import manager
 from vellum.sinks import binary
-from vellum.sources import ole, parse, pdf
+from vellum.sources import markup, ole, parse, pdf
 
 
 def texts(doc):
@@ -30,8 +30,8 @@ def report():
         [
             m.section("introduction", [
                 m.heading("Introduction", 1),
-                m.paragraph([m.run("Chiffre "), m.run("d'affaires", m.text_style(bold=True, color="#1A5276")), m.run(" en hausse")], m.para_style(alignment="justify")),
-                m.table([(True, ["Métrique", "Valeur", "Tendance"]), (False, ["CA", "120000", "+5%"]), (False, ["a|b", "12,5", 'q "x"']), (False, ["N", "3", "z"])]),
+                m.paragraph([m.run("Ventes "), m.run("d'hiver", m.text_style(bold=True, color="#1A5276")), m.run(" en hausse")], m.para_style(alignment="justify")),
+                m.table([(True, ["Poste", "Montant", "Écart"]), (False, ["CA", "73400", "+9%"]), (False, ["a|b", "12,5", 'q "x"']), (False, ["N", "3", "z"])]),
             ]),
             m.section("conclusion", [m.heading("Conclusion", 2), m.page_break(), m.image("/logo.png", 200, 100, "Logo"), m.paragraph("Fin.")]),
         ],
@@ -46,12 +46,12 @@ def report():
 @pytest.mark.parametrize(
     ("name", "data", "options", "want", "header"),
     [
-        ("people.csv", "Nom,Age\nAlice,30\nBob,25", {}, [["Nom", "Age"], ["Alice", "30"], ["Bob", "25"]], True),
+        ("rivers.csv", "Fleuve,km\nRhône,812\nLoire,1006", {}, [["Fleuve", "km"], ["Rhône", "812"], ["Loire", "1006"]], True),
         ("x.csv", "A,B\n1,2", {"header": False}, [["A", "B"], ["1", "2"]], False),
         ("bom.csv", "﻿Name,Value\nx,1", {}, [["Name", "Value"], ["x", "1"]], True),
         ("q.csv", 'Name,Description\n"Alice, Bob","dit ""oui"""', {}, [["Name", "Description"], ["Alice, Bob", 'dit "oui"']], True),
         ("s.csv", "A;B;C\n1;2;3", {"delimiter": ";"}, [["A", "B", "C"], ["1", "2", "3"]], True),
-        ("t.tsv", "A\tB\tC\n1\t2\t3", {}, [["A", "B", "C"], ["1", "2", "3"]], True),
+        ("t.tsv", "port\tdepth\nBrest\t11.5\nSète\t14", {}, [["port", "depth"], ["Brest", "11.5"], ["Sète", "14"]], True),
         ("ragged.csv", "a,b\n\nc,d,e\n", {}, [["a", "b"], [""], ["c", "d", "e"]], True),
         ("empty.csv", "", {}, [], None),
     ],
@@ -65,7 +65,9 @@ def test_csv(name, data, options, want, header):
 
 def test_csv_limit():
     data = "\n".join(str(i) for i in range(10_500)).encode()
-    assert len(rows(parse("a.csv", data))) == 10_000 and len(rows(parse("a.csv", data, limit=None))) == 10_500
+    whole, cut = parse("a.csv", data), parse("a.csv", data, limit=markup.ROW_LIMIT)
+    assert len(rows(whole)) == 10_500 and "rows_left_out" not in whole["metadata"]
+    assert len(rows(cut)) == 10_000 and cut["metadata"]["rows_left_out"] == "500"
 
 
 # HTML
@@ -185,7 +187,7 @@ def test_docx():
 def test_containers_round_trip(fmt):
     doc = parse(f"r.{fmt}", getattr(binary, f"render_{fmt}")(report()))
     said = "\n".join(t or "" for _, t in texts(doc)) + "\n".join("\n".join(r) for s in doc["sections"] for e in s["elements"] if e["type"] == "table" for r in [[c["text"] for c in x["cells"]] for x in e["table"]["rows"]])
-    for word in ("Introduction", "affaires", "120000", "Conclusion", "Fin."):
+    for word in ("Introduction", "hiver", "73400", "Conclusion", "Fin."):
         assert word in said, word
     assert doc["title"] == "Rapport <2026>" and doc["metadata"].get("author") == "Moi"
 
@@ -235,12 +237,12 @@ def test_unknown_formats(spark):
 def test_text_renderers(spark):
     df = m.documents(spark, [report()])
     html = sinks.render(df, "html").first().content.decode()
-    for part in ("<title>Rapport &lt;2026&gt;</title>", 'lang="fr"', '<section id="introduction">', "<thead>", "<th>Métrique</th>", "d&#039;affaires</span>", "font-weight:bold", "text-align:justify", '<div class="page-break"></div>', '<figure><img src="/logo.png" alt="Logo" width="200" height="100"></figure>', "font-size:24pt"):
+    for part in ("<title>Rapport &lt;2026&gt;</title>", 'lang="fr"', '<section id="introduction">', "<thead>", "<th>Poste</th>", "d&#039;hiver</span>", "font-weight:bold", "text-align:justify", '<div class="page-break"></div>', '<figure><img src="/logo.png" alt="Logo" width="200" height="100"></figure>', "font-size:24pt"):
         assert part in html, part
     md = sinks.render(df, "md").first().content.decode()
-    assert md.startswith("---\nauthor: Moi\n---\n\n# Introduction\n\nChiffre **d'affaires** en hausse\n\n| Métrique | Valeur | Tendance |\n| --- | --- | --- |\n") and "| a\\|b |" in md and "![Logo](/logo.png)" in md
+    assert md.startswith("---\nauthor: Moi\n---\n\n# Introduction\n\nVentes **d'hiver** en hausse\n\n| Poste | Montant | Écart |\n| --- | --- | --- |\n") and "| a\\|b |" in md and "![Logo](/logo.png)" in md
     csv = sinks.render(df, "csv").first().content.decode("utf-8-sig")
-    assert csv.split("\n")[:6] == ["Introduction", '"Chiffre d\'affaires en hausse"', "Métrique,Valeur,Tendance", "CA,120000,+5%", 'a|b,"12,5","q ""x"""', "N,3,z"]
+    assert csv.split("\n")[:6] == ["Introduction", '"Ventes d\'hiver en hausse"', "Poste,Montant,Écart", "CA,73400,+9%", 'a|b,"12,5","q ""x"""', "N,3,z"]
     back = parse("x.md", md.encode())
     assert rows(back) == rows(report())
     again = parse("x.html", html.encode())
@@ -259,7 +261,7 @@ def test_striped_rows(spark):
 def test_views_and_columns(spark):
     df = m.documents(spark, [report(), m.document("csv", "e", doc_id="empty")])
     assert m.sections(df).count() == 2 and m.elements(df).count() == 7 and m.table_rows(df).count() == 4 and m.cells(df).count() == 12
-    assert [r.text for r in m.runs(df).where("element_ix = 1 AND section_ix = 0").orderBy("run_ix").collect()] == ["Chiffre ", "d'affaires", " en hausse"]
+    assert [r.text for r in m.runs(df).where("element_ix = 1 AND section_ix = 0").orderBy("run_ix").collect()] == ["Ventes ", "d'hiver", " en hausse"]
     m.register_views(df, "t_")
     assert spark.sql("SELECT count(*) FROM t_cells WHERE text = 'CA'").first()[0] == 1
     first = df.select(m.first_image().alias("i")).orderBy("doc_id").collect()
@@ -307,15 +309,15 @@ def test_layout_frames(spark):
 
 def test_files_in_and_out(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
-    (tmp_path / "in" / "a.csv").write_text("Produit,Prix\nThé,29.99\n", encoding="utf-8")
+    (tmp_path / "in" / "a.csv").write_text("Article,Tarif\nThé,18.75\n", encoding="utf-8")
     (tmp_path / "in" / "sub" / "b.md").write_text("# Titre\n\ntexte", encoding="utf-8")
     df = manager.open_documents(spark, str(tmp_path / "in"))
     assert sorted(r.format for r in df.collect()) == ["csv", "md"]
     for fmt in ("html", "pdf", "xlsx"):
         out = {r.path for r in manager.convert(spark, str(tmp_path / "in"), str(tmp_path / fmt), fmt).collect()}
         assert len(out) == 2 and all(p.endswith(fmt) for p in out)
-        names = sorted(p.name for p in (tmp_path / fmt).iterdir())
-        assert names == [f"a.{fmt}", f"b.{fmt}"]
+        names = sorted(str(p.relative_to(tmp_path / fmt)) for p in (tmp_path / fmt).rglob("*.*"))
+        assert names == [f"a.{fmt}", f"sub/b.{fmt}"]
     back = sources.read(spark, str(tmp_path / "xlsx"))
     assert back.where(F.array_contains(F.transform(F.col("sections")[0]["elements"][0]["table"]["rows"], lambda r: r["cells"][0]["text"]), "Thé")).count() == 1
     assert {r.path.rpartition(".")[2] for r in manager.save(df, str(tmp_path / "own")).collect()} == {"csv", "md"}
@@ -323,6 +325,48 @@ def test_files_in_and_out(spark, tmp_path):
     assert all(t.thumbnail.mime_type == "image/png" and t.data_uri.startswith("data:image/png;base64,") for t in thumbs)
 
 
+def test_files_of_one_name(spark, tmp_path):
+    for k, folder in enumerate(("x", "y")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "same.csv").write_text(f"k\n{k}")
+    out = {r.path for r in manager.convert(spark, str(tmp_path / "in"), str(tmp_path / "md"), "md").collect()}
+    assert len(out) == 2 and [(tmp_path / "md" / f / "same.md").read_text().count(str(k)) for k, f in enumerate("xy")] == [1, 1]
+    df = sources.read(spark, str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="same.md"):
+        manager.save(df, str(tmp_path / "flat"), "md")
+    assert len({r.path for r in manager.save(df, str(tmp_path / "deep"), "md", base=str(tmp_path / "in")).collect()}) == 2
+    (tmp_path / "in" / "x" / "same.md").write_text("two formats of one name")
+    with pytest.raises(ValueError, match="same.pdf"):
+        manager.convert(spark, str(tmp_path / "in"), str(tmp_path / "pdf"), "pdf")
+    assert not (tmp_path / "pdf").exists()
+
+
+def test_sheets_hold_every_row():
+    doc = m.document("csv", "t", [m.section("data", [m.table([(False, [str(k)]) for k in range(70_000)])])])
+    back = parse("t.xls", binary.render_xls(doc))
+    got = [r["cells"][0]["text"] for s in back["sections"] for e in s["elements"] for r in e["table"]["rows"]]
+    assert got == [str(k) for k in range(70_000)] and len(back["sections"]) == 2
+    with pytest.raises(ValueError, match="300 columns"):
+        binary.render_xls(m.document("csv", "t", [m.section("data", [m.table([(False, ["x"] * 300)])])]))
+    with pytest.raises(ValueError, match="characters"):
+        binary.render_xls(m.document("csv", "t", [m.section("data", [m.table([(False, ["x" * 70_000])])])]))
+    long = parse("t.xls", binary.render_xls(m.document("csv", "t", [m.section("data", [m.table([(False, ["y" * 60_000])])])])))
+    assert rows(long) == [["y" * 60_000]]
+
+
+def test_sheet_limit_says_what_it_drops():
+    data = binary.render_xlsx(m.document("csv", "t", [m.section("small", [m.table([(False, ["1"])])]), m.section("large", [m.table([(False, [str(k)]) for k in range(5000)])])]))
+    whole, cut = parse("t.xlsx", data), parse("t.xlsx", data, sheet_limit=20_000)
+    assert len(whole["sections"]) == 2 and "sheets_left_out" not in whole["metadata"]
+    assert len(cut["sections"]) == 1 and cut["metadata"]["sheets_left_out"] == "large"
+
+
+def test_tables_in_parts(spark):
+    df = m.table_of(spark.range(25), "id", "n", by=F.floor(F.col("id") / 10))
+    got = {r.doc_id: r.n for r in m.table_rows(df).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {"n-0": 11, "n-1": 11, "n-2": 6}
+
+
 def test_registries(spark):
     sources.register_parser("txt", lambda data, name="", **_: m.document("txt", "t", [m.section("s", [m.paragraph(data.decode())])]))
     sinks.register_renderer("shout", lambda doc: doc["title"].upper().encode())
@@ -357,8 +401,8 @@ def test_json_form(spark):
     doc = json.loads(m.to_json(m.documents(spark, [report()])).first().json)
     assert doc["format"] == "md" and list(doc) == ["format", "title", "metadata", "sections"]
     first, last = doc["sections"]
-    assert list(first) == ["name", "elements"] and first["elements"][0]["style"]["headingLevel"] == 1 and first["elements"][1]["runs"][0] == {"text": "Chiffre ", "style": None}
-    assert first["elements"][2]["rows"][1]["cells"][1]["text"] == "120000" and first["elements"][2]["rows"][0]["isHeader"] is True and first["elements"][2]["style"] is None
+    assert list(first) == ["name", "elements"] and first["elements"][0]["style"]["headingLevel"] == 1 and first["elements"][1]["runs"][0] == {"text": "Ventes ", "style": None}
+    assert first["elements"][2]["rows"][1]["cells"][1]["text"] == "73400" and first["elements"][2]["rows"][0]["isHeader"] is True and first["elements"][2]["style"] is None
     assert last["elements"][1] == {"type": "page_break"} and last["elements"][2]["src"] == "/logo.png" and last["elements"][2]["dataSize"] == 0 and "dataUri" not in last["elements"][2]
 
 

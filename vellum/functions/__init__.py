@@ -12,6 +12,13 @@ TRIMMED = " \t\n\r\0\x0b"
 WORD_CHARS = "[A-Za-z0-9_]"
 #: A word border by ASCII rules, as byte-wise patterns have it (Java's \b counts letters beyond ASCII).
 BORDER = f"(?:(?<!{WORD_CHARS})(?={WORD_CHARS})|(?<={WORD_CHARS})(?!{WORD_CHARS}))"
+#: The same before and after a word character, where one side is known.
+BEFORE_WORD, AFTER_WORD = f"(?<!{WORD_CHARS})", f"(?!{WORD_CHARS})"
+
+
+def once(value, fn) -> Column:
+    """fn(value), with value computed once however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def trim(c) -> Column:

@@ -202,17 +202,23 @@ def column_count(table_rows_col) -> Column:
     return F.coalesce(F.array_max(F.transform(table_rows_col, lambda r: F.size(r["cells"]))), F.lit(0))
 
 
-def table_of(df: DataFrame, order: str, name: str = "data", fmt: str = "csv", columns: list[str] | None = None) -> DataFrame:
-    """One document whose one table has df's rows in the order of a column, all cells text. For tables that fit a document."""
+def table_of(df: DataFrame, order: str, name: str = "data", fmt: str = "csv", columns: list[str] | None = None, by: Column | None = None) -> DataFrame:
+    """Documents `name-<by>`, each with one table of df's rows of a value of `by` in the order of a column, all cells text.
+
+    Without `by` it is one document `name`, gathered in one task: for tables that fit a document. A larger table takes a
+    `by` of bounded parts, such as ranges of its key.
+    """
     columns = columns or df.columns
+    title = F.concat(F.lit(f"{name}-"), by.cast("string")) if by is not None else F.lit(name)
     as_cell = lambda c: F.struct(c.alias("text"), F.array(F.struct(c.alias("text"), F.lit(None).cast(TEXT_STYLE).alias("style"))).alias("runs"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"))
     row = F.struct(F.lit(False).alias("is_header"), F.array(*[as_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]).alias("cells"))
     head = F.array(F.struct(F.lit(True).alias("is_header"), F.array(*[as_cell(F.lit(c)) for c in columns]).alias("cells")))
     body = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))), lambda x: x["r"])
-    made = F.struct(F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(PARAGRAPH).alias("paragraph"), F.struct(F.lit(None).cast(TABLE_STYLE).alias("style"), F.array().cast("array<double>").alias("column_widths"), F.concat(head, body).alias("rows")).alias("table"), F.lit(None).cast(IMAGE).alias("image"))
+    made = F.struct(F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(PARAGRAPH).alias("paragraph"), F.struct(F.lit(None).cast(TABLE_STYLE).alias("style"), F.array().cast("array<double>").alias("column_widths"), F.concat(head, F.col("body")).alias("rows")).alias("table"), F.lit(None).cast(IMAGE).alias("image"))
     sec = F.struct(F.lit(name).alias("name"), F.create_map().cast("map<string,string>").alias("metadata"), F.array(made).alias("elements"))
     style = F.struct(*[F.lit(v).alias(k) for k, v in text_style().items()])
-    return df.agg(F.array(sec).alias("sections")).select(F.lit(name).alias("doc_id"), F.lit("").alias("source_file"), F.lit(fmt).alias("format"), F.lit(name).alias("title"), F.create_map().cast("map<string,string>").alias("metadata"), style.alias("default_style"), "sections", F.lit(None).cast("string").alias("error"))
+    parts = df.groupBy(title.alias("title")).agg(body.alias("body")) if by is not None else df.agg(body.alias("body")).select(title.alias("title"), "body")
+    return parts.select("title", F.array(sec).alias("sections")).select(F.col("title").alias("doc_id"), F.lit("").alias("source_file"), F.lit(fmt).alias("format"), "title", F.create_map().cast("map<string,string>").alias("metadata"), style.alias("default_style"), "sections", F.lit(None).cast("string").alias("error"))
 
 
 # Derived columns

@@ -6,10 +6,12 @@ ASCII word border of `functions.BORDER`.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import BORDER, characters, letters, matches, replace_all, replace_each, trim, upper_first
+from ..functions import AFTER_WORD, BEFORE_WORD, BORDER, characters, letters, matches, once, replace_all, replace_each, trim, upper_first
 
 # Letters that count as vowels and consonants.
 VOWELS = "[aeiouyàáâãäåèéêëìíîïòóôõöùúûüýÿæœ]"
@@ -163,24 +165,28 @@ def collapse_letter_spacing(text) -> Column:
     return F.when(spaced, trim(squeezed)).otherwise(text)
 
 
+# Fixed value: the control characters that texts must not hold.
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+
 def strip_control(text) -> Column:
-    return F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    return F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), CONTROL, "")
 
 
 # Language
 
 
 def language_scores(text) -> Column:
-    """Occurrences of each language's characters, in the order of LANGUAGE_SIGNS."""
-    return F.array(*[_count(text, p) for _, p in LANGUAGE_SIGNS])
+    """Occurrences of each language's characters, in the order of LANGUAGE_SIGNS; one pass over the text leaves only those."""
+    signs = F.regexp_replace(text, "[^" + "".join(p[1:-1] for _, p in LANGUAGE_SIGNS) + "]+", "")
+    return once(signs, lambda x: F.array(*[_count(x, p) for _, p in LANGUAGE_SIGNS]))
 
 
 def detect_language(text) -> Column:
     """The language whose characters occur most, the first of equals; eng without any or under ten characters."""
-    scores = language_scores(text)
-    best = F.array_max(scores)
     names = F.array(*[F.lit(n) for n, _ in LANGUAGE_SIGNS])
-    return F.when(text.isNull() | (F.length(text) < 10) | (best == 0), "eng").otherwise(F.element_at(names, F.array_position(scores, best).cast("int")))
+    found = once(language_scores(text), lambda s: F.when(F.array_max(s) > 0, F.element_at(names, F.array_position(s, F.array_max(s)).cast("int"))))
+    return F.when(F.length(text) >= 10, F.coalesce(found, F.lit("eng"))).otherwise("eng")
 
 
 def script_language(script) -> Column:
@@ -223,8 +229,11 @@ DIGIT_SUBSTITUTIONS = (
 def fix_confusions(text, word=WORD_SUBSTITUTIONS, digit=DIGIT_SUBSTITUTIONS, patterns=GLOBAL_PATTERNS) -> Column:
     """Characters that OCR takes for one another, token by token; an empty table stands for the usual one."""
     word, digit, patterns = tuple(word) or WORD_SUBSTITUTIONS, tuple(digit) or DIGIT_SUBSTITUTIONS, tuple(patterns) or GLOBAL_PATTERNS
+    changed = text
     for p, r in patterns:
-        text = F.regexp_replace(text, p, r)
+        changed = F.regexp_replace(changed, p, r)
+    # one look for the characters that the usual patterns change, before any of them is searched
+    text = F.when(text.rlike("[ﬁﬂﬀﬃﬄ|]"), changed).otherwise(text) if patterns == GLOBAL_PATTERNS else changed
     numeric = [x for x in word if any(c.isdigit() for c in x[0])]
     plain = [x for x in word if x not in numeric]
 
@@ -233,13 +242,16 @@ def fix_confusions(text, word=WORD_SUBSTITUTIONS, digit=DIGIT_SUBSTITUTIONS, pat
         first = F.when(n_digits > n_letters, replace_all(t, digit)).when((n_letters > n_digits) & (n_digits > 0), replace_all(t, numeric)).otherwise(t)
         return F.when(n_letters >= 3, replace_all(first, plain)).otherwise(first)
 
-    return replace_each(text, r"(?U)\S+", token)
+    # only a token with a digit or with one of the plain strings can change; others stay in the gaps between matches
+    may_change = "|".join(["[0-9]", *(re.escape(a) for a, _ in plain)])
+    return once(text, lambda x: F.when(x.rlike(may_change), replace_each(x, rf"(?U)(?<!\S)(?=\S*?(?:{may_change}))\S+", token)).otherwise(x))
 
 
 # Entities
 
-B = BORDER
-DATE = rf"{B}([0-9]{{1,2}})\s*[/\-.]\s*([0-9]{{1,2}})\s*[/\-.]\s*([0-9]{{2,4}}){B}"
+#: The border before a digit or letter and the one after, which need to look to one side only.
+B, AT, TO = BORDER, BEFORE_WORD, AFTER_WORD
+DATE = rf"(?=[0-9]){AT}([0-9]{{1,2}})\s*[/\-.]\s*([0-9]{{1,2}})\s*[/\-.]\s*([0-9]{{2,4}}){TO}"
 
 
 def normal_date(raw) -> Column:
@@ -252,20 +264,40 @@ def normal_date(raw) -> Column:
 #: (name, type, pattern, normaliser or None), applied in this order, each to what the one before has made of the text.
 ENTITY_RULES = (
     ("date_dmy_slash", "date", DATE, normal_date),
-    ("phone_international", "phone", rf"(?:\+[0-9]{{1,3}}[\s\-]?)?\(?[0-9]{{2,4}}\)?[\s\-]?[0-9]{{2,3}}[\s\-]?[0-9]{{2,3}}[\s\-]?[0-9]{{2,4}}{B}", lambda m: F.regexp_replace(m, r"\s+", " ")),
+    ("phone_international", "phone", rf"(?:\+[0-9]{{1,3}}[\s\-]?)?\(?[0-9]{{2,4}}\)?[\s\-]?[0-9]{{2,3}}[\s\-]?[0-9]{{2,3}}[\s\-]?[0-9]{{2,4}}{TO}", lambda m: F.regexp_replace(m, r"\s+", " ")),
     ("email", "email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", None),
     ("url", "url", r"(?i)(?:https?://|www\.)[^\s<>\]]+", None),
-    ("amount", "amount", rf"(?i){B}[0-9]{{1,3}}(?:[\s.,][0-9]{{3}})*(?:[,.][0-9]{{1,2}})?\s*(?:€|EUR|DA|USD|\$|£|MAD|DZD|TND){B}", None),
-    ("iban", "iban", rf"{B}[A-Z]{{2}}[0-9]{{2}}[\s\-]?[0-9A-Z]{{4}}[\s\-]?[0-9A-Z]{{4}}[\s\-]?[0-9A-Z]{{4}}(?:[\s\-]?[0-9A-Z]{{1,4}}){{0,5}}{B}", lambda m: F.upper(F.regexp_replace(m, r"[\s\-]", ""))),
-    ("siret", "siret", rf"{B}[0-9]{{3}}[\s\-]?[0-9]{{3}}[\s\-]?[0-9]{{3}}[\s\-]?[0-9]{{3}}[\s\-]?[0-9]{{2}}{B}", lambda m: F.regexp_replace(m, r"[\s\-]", " ")),
+    ("amount", "amount", rf"(?i)(?=[0-9]){AT}[0-9]{{1,3}}(?:[\s.,][0-9]{{3}})*(?:[,.][0-9]{{1,2}})?\s*(?:€|EUR|DA|USD|\$|£|MAD|DZD|TND){B}", None),
+    ("iban", "iban", rf"(?=[A-Z]){AT}[A-Z]{{2}}[0-9]{{2}}[\s\-]?[0-9A-Z]{{4}}[\s\-]?[0-9A-Z]{{4}}[\s\-]?[0-9A-Z]{{4}}(?:[\s\-]?[0-9A-Z]{{1,4}}){{0,5}}{TO}", lambda m: F.upper(F.regexp_replace(m, r"[\s\-]", ""))),
+    ("siret", "siret", rf"(?=[0-9]){AT}[0-9]{{3}}[\s\-]?[0-9]{{3}}[\s\-]?[0-9]{{3}}[\s\-]?[0-9]{{3}}[\s\-]?[0-9]{{2}}{TO}", lambda m: F.regexp_replace(m, r"[\s\-]", " ")),
     ("reference", "reference", r"(?iU)\b(?:R[ée]f|N°|Ref|Dossier)[\s.:]*[\w\-/]+", None),
-    ("spaced_number", "number", rf"{B}([0-9]{{1,3}}(?:\s[0-9]{{3}}){{1,4}}){B}", None),
+    ("spaced_number", "number", rf"(?=[0-9]){AT}([0-9]{{1,3}}(?:\s[0-9]{{3}}){{1,4}}){TO}", None),
 )
 
 
+#: By kind of entity what a text must hold for its rule to find anything: a cheap look before the pattern is searched.
+NEEDED = {
+    "date": "[0-9]\\s*[/\\-.]\\s*[0-9]",
+    "phone": "[0-9]{2}",
+    "email": "@",
+    "url": "(?i)://|www\\.",
+    "amount": "(?i)[0-9]\\s*(?:€|EUR|DA|USD|\\$|£|MAD|DZD|TND)",
+    "iban": "[A-Z]{2}[0-9]{2}",
+    "siret": "[0-9]{3}[\\s\\-]?[0-9]{3}",
+    "reference": "(?iu)R[ée]f|N°|Dossier",
+    "number": "[0-9]\\s[0-9]{3}",
+}
+
+
+def found_by(text, kind: str, pattern: str) -> Column:
+    """The matches of a rule's pattern; of the usual rules only where the text holds what they need."""
+    usual = any(r[1] == kind and r[2] == pattern for r in ENTITY_RULES)
+    return F.when(text.rlike(NEEDED[kind]), matches(text, pattern)).otherwise(F.array().cast("array<string>")) if usual and kind in NEEDED else matches(text, pattern)
+
+
 def entities_of(text, kind: str, pattern: str, normal=None) -> Column:
     """What one rule finds, as struct<type, raw, value>."""
-    return F.transform(matches(text, pattern), lambda m: F.struct(F.lit(kind).alias("type"), m.alias("raw"), (normal(m) if normal else m).alias("value")))
+    return F.transform(found_by(text, kind, pattern), lambda m: F.struct(F.lit(kind).alias("type"), m.alias("raw"), (normal(m) if normal else m).alias("value")))
 
 
 def _entity(kind: str):
@@ -281,7 +313,7 @@ def with_entities(df, text_col: str = "text", rules=ENTITY_RULES, custom=(), int
     text = F.col(text_col)
     for _, kind, pattern, normal in (*rules, *custom):
         # each pattern is searched once; most texts have no match and pass as they are
-        df = df.withColumn("_v_met", matches(text, pattern))
+        df = df.withColumn("_v_met", found_by(text, kind, pattern))
         values = F.transform("_v_met", normal) if normal else F.col("_v_met")
         found = F.zip_with("_v_met", values, _entity(kind))
         gaps, values = F.split(text, pattern, -1), F.concat(values, F.array(F.lit("")))

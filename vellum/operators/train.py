@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 FILE_GLOB = "*.{txt,md,text,csv}"
 
 
@@ -86,7 +88,13 @@ class NgramModel:
 
     @classmethod
     def train(cls, df: DataFrame, text_col: str = "text") -> NgramModel:
-        return cls(unigrams(df, text_col), bigrams(df, text_col))
+        """Both counts in one pass over the texts, as a table, so that no later use reads the texts again."""
+        ws = df.select(ngram_words(F.col(text_col)).alias("ws"))
+        # a unigram is a pair without a second word
+        pairs = F.zip_with("ws", F.concat(F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))), F.array(F.lit(None).cast("string"))), lambda a, b: F.array(F.struct(a.alias("w1"), F.lit(None).cast("string").alias("w2")), F.struct(a.alias("w1"), b.alias("w2"))))
+        both = ws.where(F.size("ws") > 0).select(F.posexplode(F.flatten(pairs)).alias("k", "p")).where("k % 2 = 0 OR p.w2 IS NOT NULL")
+        counts = written(both.groupBy("p.w1", "p.w2").agg(F.count("*").alias("freq")), "ngrams")
+        return cls(counts.where("w2 IS NULL").select(F.col("w1").alias("word"), "freq"), counts.where("w2 IS NOT NULL"))
 
     def append(self, other: NgramModel) -> NgramModel:
         return NgramModel(merge_counts(self.unigrams, other.unigrams), merge_counts(self.bigrams, other.bigrams, ("w1", "w2")))

@@ -72,7 +72,7 @@ def structure_read_sections(df: DataFrame, client) -> DataFrame:
 def save(df: DataFrame, folder: str, fmt: str | None = None, **options) -> DataFrame:
     """Files of the documents, in a format or each in its own; (doc_id, path)."""
     if fmt:
-        return sinks.save(df, folder, fmt, **options)
+        return sinks.save(df, folder, fmt, **options)  # base: the folder that documents' paths are taken below
     out = None
     for f in [r.format for r in df.select("format").distinct().limit(len(model.EXTENSIONS)).collect()]:  # one name for each format there is
         part = sinks.save(df.where(F.col("format") == f), folder, f, **options)
@@ -85,7 +85,9 @@ def render_as(df: DataFrame, fmt: str, **options) -> DataFrame:
 
 
 def convert(spark: SparkSession, source: str, folder: str, fmt: str, **options) -> DataFrame:
-    return sinks.save(sources.read(spark, source, **options), folder, fmt)
+    """Files of a folder in another format, each at its path below the folder; clashes show before a file is parsed."""
+    sinks.check_targets(sources.files_of(spark, source).select(F.col("path").alias("doc_id")), {"markdown": "md"}.get(fmt.lower(), fmt.lower()), source)
+    return sinks.save(sources.read(spark, source, **options), folder, fmt, base=source, check=False)
 
 
 def thumbnail(spark: SparkSession, *paths: str, width: int = previews.WIDTH, height: int = previews.HEIGHT) -> DataFrame:

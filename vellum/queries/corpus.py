@@ -252,6 +252,7 @@ def _entity_query(name: str, pattern: str | None, within: str | None = None):
     query(f"SELECT doc_id, '{rule[1]}' AS type, raw, {value} AS value, count(*) AS n FROM (SELECT doc_id, unnest({found}) AS raw FROM documents) GROUP BY ALL")(run)
 
 
+# The patterns of entities in DuckDB's dialect.
 S = r"[ \t\n\x0B\f\r]"
 _entity_query("date_dmy_slash", rf"\b([0-9]{{1,2}}){S}*[/\-.]{S}*([0-9]{{1,2}}){S}*[/\-.]{S}*([0-9]{{2,4}})\b")
 _entity_query("phone_international", r"(?:\+[0-9]{1,3}[\s\-]?)?\(?[0-9]{2,4}\)?[\s\-]?[0-9]{2,3}[\s\-]?[0-9]{2,3}[\s\-]?[0-9]{2,4}\b")
@@ -324,20 +325,23 @@ def paragraphs_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("paragraph_ix", "paragraph"))
 
 
-KNOWN = 100
+MIN_FREQUENCY = 100
+#: DuckDB: words with themselves and with each character left out; two words one edit apart share one of these.
+LEFT_OUT = "SELECT word, {1}, unnest(list_prepend(word, list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)))) AS v FROM {0}"
 
 
 @query(f"""
-WITH known AS (SELECT word, count(*) AS freq FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY word HAVING count(*) >= {KNOWN}),
+WITH known AS (SELECT word, count(*) AS freq FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY word),
 unknown AS (SELECT DISTINCT word FROM (SELECT unnest({WORDS}) AS word FROM conversations) WHERE length(word) >= 5 AND word NOT IN (SELECT word FROM known)),
-near AS (SELECT unknown.word, known.word AS candidate, freq, levenshtein(unknown.word, known.word) AS dist FROM unknown JOIN known
-  ON abs(length(unknown.word) - length(known.word)) <= 1 AND levenshtein(unknown.word, known.word) <= 1),
+near AS (SELECT DISTINCT a.word, b.word AS candidate, b.freq, levenshtein(a.word, b.word) AS dist FROM ({LEFT_OUT.format('unknown', '0 AS freq')}) a JOIN ({LEFT_OUT.format('known', 'freq')}) b ON a.v = b.v
+  WHERE abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) <= 1),
 best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, candidate) AS r FROM near)
-SELECT word, candidate AS suggestion FROM best WHERE r = 1""")
+SELECT word, candidate AS suggestion FROM best WHERE r = 1 AND freq >= {MIN_FREQUENCY}""")
 def spell_candidates(spark, sf_dir):
-    known = train.filter_by_frequency(train.dictionary(table(spark, sf_dir, "documents")), KNOWN, 1)
+    """Unknown words against the whole dictionary; the best candidate counts if it is frequent."""
+    known = train.dictionary(table(spark, sf_dir, "documents"))
     words = train.dictionary(table(spark, sf_dir, "conversations")).where(F.length("word") >= 5).join(known.select("word"), "word", "left_anti")
-    return correct.closest(words, known, 1, KNOWN)
+    return correct.closest(words, known, 1, MIN_FREQUENCY)
 
 
 @query()
@@ -384,12 +388,9 @@ def text_by_quality(spark, sf_dir):
 @query(f"SELECT word, count(*) AS freq FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY word")
 def stream_dictionary(spark, sf_dir):
     """The dictionary kept by a stream over the documents' files, run until all of them are counted."""
-    import uuid
+    from .. import scratch, streaming
 
-    from .. import streaming
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    root = f"{base}/stream-dictionary-{uuid.uuid4().hex}"
+    root = scratch.fresh(spark, "stream-dictionary")
     docs = table(spark, sf_dir, "documents")
     path = f"{sf_dir}/documents.parquet"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,9 +26,9 @@ def query(sql: str | None = None):
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    """The pages parsed."""
+    """The pages parsed, whole."""
     files = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return sources.parse_files(files, scripts=False)
+    return sources.parse_files(files)
 
 
 def page_id(c="doc_id"):
@@ -49,22 +49,33 @@ def html_first_headings(spark, sf_dir):
     return heads.groupBy("doc_id").agg(F.min_by("text", F.struct("section_ix", "element_ix")).alias("heading")).select(page_id().alias("page_id"), "heading")
 
 
-@query()
+#: DuckDB: the blocks of each page's body in order, as (page_id, k, block): list, box, heading, paragraphs (whose bold may be unclosed) and footer.
+BLOCKS = r"""
+cut AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<ul>.*?</ul>|<div class="ad">[^<]+|<h1>[^<]*|<p>(?:<b>)?[^<]+(?:<br>)?|<footer>[^<]+') AS l FROM pages),
+blocks AS (SELECT page_id, unnest(l) AS block, generate_subscripts(l, 1) - 1 AS k FROM cut),
+texts AS (SELECT page_id, k, block, {0} AS raw FROM (SELECT page_id, k, block, regexp_replace(replace(block, '<br>', chr(10)), '<[^>]*>', '', 'g') AS t FROM blocks)),
+elements AS (SELECT page_id, CAST(0 AS INTEGER) AS section_ix, CAST(k AS INTEGER) AS element_ix, 'paragraph' AS type, block, CASE WHEN block LIKE '<ul>%' OR block LIKE '<footer>%' THEN trim(raw) ELSE raw END AS text FROM texts)
+""".replace("{0}", f"replace(replace({ENTITIES.replace('{0}', 't').replace(", '&amp;', '&')", ", '&copy;', '©')")}, '&middot;', '·'), '&amp;', '&')")
+
+
+@query(f"WITH {BLOCKS} SELECT page_id, section_ix, 'main' AS name, CAST(count(*) AS INTEGER) AS n_elements FROM elements GROUP BY page_id, section_ix")
 def html_sections(spark, sf_dir):
     return model.sections(pages(spark, sf_dir)).select(page_id().alias("page_id"), "section_ix", "name", F.size("elements").alias("n_elements"))
 
 
-@query()
+@query(f"WITH {BLOCKS} SELECT page_id, section_ix, element_ix, type, text FROM elements")
 def html_elements(spark, sf_dir):
     return model.elements(pages(spark, sf_dir)).select(page_id().alias("page_id"), "section_ix", "element_ix", "type", "text")
 
 
-@query()
+@query(f"""WITH {BLOCKS}
+SELECT page_id, section_ix, element_ix, CAST(0 AS INTEGER) AS run_ix, rtrim(text, chr(10)) AS text, CASE WHEN block LIKE '<h1>%' OR block LIKE '<p><b>%' THEN true END AS bold FROM elements
+UNION ALL SELECT page_id, section_ix, element_ix, 1, chr(10), NULL FROM elements WHERE block LIKE '%<br>'""")
 def html_runs(spark, sf_dir):
     return model.runs(pages(spark, sf_dir)).select(page_id().alias("page_id"), "section_ix", "element_ix", "run_ix", "text", F.col("style.bold").alias("bold"))
 
 
-@query()
+@query(f"WITH {BLOCKS} SELECT type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM elements GROUP BY type")
 def element_type_counts(spark, sf_dir):
     return model.elements(pages(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
@@ -84,11 +95,13 @@ def documents_json(spark, sf_dir):
     return model.to_json(pages(spark, sf_dir)).select(page_id().alias("page_id"), "json")
 
 
-@query("SELECT page_id, false AS needs_ocr FROM pages")
+@query("SELECT page_id, page_id % 25 > 0 AND (page_id // 25 % 4) / greatest(page_id % 25 + page_id // 25 % 4, 1)::DOUBLE < 0.1 AS needs_ocr FROM pages")
 def needs_ocr(spark, sf_dir):
-    """Pages have text and no images, so none needs OCR."""
-    parsed = pages(spark, sf_dir)
-    return parsed.select(page_id().alias("page_id"), F.exists("sections", lambda s: model.needs_ocr(s["elements"])).alias("needs_ocr"))
+    """Scans of up to 24 pictures with up to three paragraphs between them, made as HTML from the pages' numbers and parsed."""
+    n = F.col("page_id")
+    html = F.concat(F.lit("<body>"), F.repeat(F.lit('<img src="scan.png" width="600" height="800">'), (n % 25).cast("int")), F.repeat(F.lit("<p>Legende</p>"), (F.floor(n / 25) % 4).cast("int")), F.lit("</body>"))
+    files = table(spark, sf_dir, "pages").select(F.concat(n.cast("string"), F.lit(".html")).alias("path"), F.encode(html, "UTF-8").alias("content"))
+    return sources.parse_files(files).select(page_id().alias("page_id"), F.exists("sections", lambda s: model.needs_ocr(s["elements"])).alias("needs_ocr"))
 
 
 # Tables as documents
@@ -120,19 +133,21 @@ def html_table_render(spark, sf_dir):
 
 
 CUSTOMER = ("c_custkey", "c_name", "c_mktsegment")
-CELLS = """SELECT row_ix, col_ix, text FROM (
-  SELECT CAST(0 AS INTEGER) AS row_ix, unnest([0, 1, 2])::INTEGER AS col_ix, unnest(['c_custkey', 'c_name', 'c_mktsegment']) AS text
-  UNION ALL SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER), 0, CAST(c_custkey AS VARCHAR) FROM customer
-  UNION ALL SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER), 1, c_name FROM customer
-  UNION ALL SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER), 2, c_mktsegment FROM customer)"""
+#: Customers whose keys lie in one range are a document.
+KEYS = 1000
+CELLS = f"""WITH c AS (SELECT c_custkey // {KEYS} AS part, CAST(row_number() OVER (PARTITION BY c_custkey // {KEYS} ORDER BY c_custkey) AS INTEGER) AS row_ix, CAST(c_custkey AS VARCHAR) AS k, c_name, c_mktsegment FROM customer)
+SELECT part, row_ix, col_ix, text FROM (
+  SELECT part, CAST(0 AS INTEGER) AS row_ix, unnest([0, 1, 2])::INTEGER AS col_ix, unnest(['c_custkey', 'c_name', 'c_mktsegment']) AS text FROM (SELECT DISTINCT part FROM c)
+  UNION ALL SELECT part, row_ix, 0, k FROM c UNION ALL SELECT part, row_ix, 1, c_name FROM c UNION ALL SELECT part, row_ix, 2, c_mktsegment FROM c)"""
 
 
 def customers(spark, sf_dir) -> DataFrame:
-    return model.table_of(table(spark, sf_dir, "customer"), "c_custkey", "customer", columns=list(CUSTOMER))
+    """A document for each range of keys, so that a table of any size is many documents and no task gathers it all."""
+    return model.table_of(table(spark, sf_dir, "customer"), "c_custkey", "customer", columns=list(CUSTOMER), by=F.floor(F.col("c_custkey") / KEYS))
 
 
 def cells(df: DataFrame) -> DataFrame:
-    return model.cells(df).select("row_ix", "col_ix", "text")
+    return model.cells(df).select(F.regexp_extract("doc_id", "-([0-9]+)", 1).cast("long").alias("part"), "row_ix", "col_ix", "text")
 
 
 @query(CELLS)
@@ -142,14 +157,14 @@ def table_to_cells(spark, sf_dir):
 
 def _round_trip(fmt: str, sql: str | None, **options):
     def run(spark, sf_dir):
-        made = sinks.render(customers(spark, sf_dir), fmt).withColumn("doc_id", F.lit(f"customer.{fmt}"))
+        made = sinks.render(customers(spark, sf_dir), fmt).withColumn("doc_id", F.concat("doc_id", F.lit(f".{fmt}")))
         return cells(sources.parse_files(made, "doc_id", "content", **options))
 
     run.__name__ = f"convert_roundtrip_{fmt}"
     query(sql)(run)
 
 
-_round_trip("csv", CELLS, limit=None)
+_round_trip("csv", CELLS)
 _round_trip("md", CELLS)
 _round_trip("html", CELLS)
 _round_trip("xlsx", CELLS)
@@ -197,7 +212,10 @@ def x_clusters(spark, sf_dir):
     return layout.x_clusters(points, ["label"], order="vec_id").select("label", "vec_id", "cluster_ix")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT label, vec_id, CAST(embedding[2] AS DOUBLE) * 10 AS y, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+g AS (SELECT label, vec_id, k, y AS anchor, CAST(0 AS INTEGER) AS line_ix FROM p WHERE k = 1
+  UNION ALL SELECT p.label, p.vec_id, p.k, CASE WHEN abs(p.y - g.anchor) >= {gap} THEN p.y ELSE g.anchor END, g.line_ix + CAST(abs(p.y - g.anchor) >= {gap} AS INTEGER) FROM g JOIN p ON p.label = g.label AND p.k = g.k + 1)
+SELECT label, vec_id AS seg_ix, line_ix FROM g""".replace("{gap}", str(layout.LINE_GAP)))
 def y_groups(spark, sf_dir):
     points = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("seg_ix"), (F.col("embedding")[1].cast("double") * 10).alias("y"))
     return layout.line_groups(points, ["label"]).select("label", "seg_ix", "line_ix")
@@ -212,12 +230,13 @@ def nearest_columns(spark, sf_dir):
 # Scalars
 
 
-@query("""
-SELECT c_custkey, CASE WHEN n >= 703 THEN chr(CAST(65 + (n - 703) // 676 AS INTEGER)) ELSE '' END
-  || CASE WHEN n >= 27 THEN chr(CAST(65 + ((n - 27) // 26) % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS letters, n - 1 AS back
-FROM (SELECT c_custkey, c_custkey + 0 AS n FROM customer WHERE c_custkey BETWEEN 1 AND 18278)""")
+#: DuckDB: the letter of each place, for numbers n from the first that has so many letters.
+PLACES = " || ".join(f"CASE WHEN n >= {sum(26**j for j in range(k + 1))} THEN chr(CAST(65 + ((n - {sum(26**j for j in range(k + 1))}) // {26**k}) % 26 AS INTEGER)) ELSE '' END" for k in range(5, -1, -1))
+
+
+@query(f"SELECT c_custkey, {PLACES} AS letters, c_custkey - 1 AS back FROM (SELECT c_custkey, CAST(c_custkey AS BIGINT) AS n FROM customer WHERE c_custkey >= 1)")
 def column_letters(spark, sf_dir):
-    """Letters of every customer key from 1, the first column, and back; the SQL stops at three letters (key 18,278)."""
+    """Letters of every customer key from 1, the first column, and back."""
     keys = table(spark, sf_dir, "customer").where("c_custkey >= 1").select("c_custkey", fn.column_letters(F.col("c_custkey") - 1).alias("letters"))
     return keys.withColumn("back", fn.column_index(F.concat("letters", F.lit("7"))))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,14 +60,39 @@ def render(df: DataFrame, fmt: str, **options) -> DataFrame:
     return df.mapInArrow(run, "doc_id string, content binary")
 
 
-def save(df: DataFrame, folder: str, fmt: str, **options) -> DataFrame:
+def target_of(doc_id: str | None, extension: str, base: str | None = None) -> str:
+    """A document's file below the folder: its path below base (its name alone, if it does not lie there) with the extension."""
+    bare = lambda p: re.sub(r"^[A-Za-z][A-Za-z0-9+.\-]*:/*", "/", p)  # noqa: E731 - without scheme
+    path, top = bare(doc_id or "document"), bare(base).rstrip("/") + "/" if base else None
+    path = path[len(top) :] if top and path.startswith(top) else posixpath.basename(path)
+    name, stem = posixpath.split(path)
+    return posixpath.join(name, f"{stem.rsplit('.', 1)[0]}.{extension}")
+
+
+def check_targets(doc_ids: DataFrame, extension: str, base: str | None = None) -> None:
+    """Raises where two of doc_ids(doc_id) would be written to one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([target_of(x, extension, base) for x in batch.column(0).to_pylist()], pa.string())], names=["doc_id", "target"])
+
+    targets = doc_ids.select("doc_id").distinct().mapInArrow(run, "doc_id string, target string")
+    twice = targets.groupBy("target").agg(F.count("*").alias("n"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).where("n > 1").limit(3).collect()
+    if twice:
+        raise ValueError("several documents would be one file: " + "; ".join(f"{r.one} and {r.other} as {r.target}" for r in twice))
+
+
+def save(df: DataFrame, folder: str, fmt: str, base: str | None = None, check: bool = True, **options) -> DataFrame:
     """Writes a file for each document into a folder that all executors see, and returns (doc_id, path).
 
-    Files appear under their name only when whole: each attempt writes beside and renames. The folder may be any URI that
-    pyarrow's file systems know.
+    A file's path below the folder is that of its document below `base`. Documents that would be written to one file are an
+    error before anything is written (check=False leaves that look out, where names are known to differ). Files appear under
+    their name only when whole: each attempt writes beside and renames. The folder may be any URI that pyarrow's file systems know.
     """
-    content = render(df, fmt, **options)
     extension = {"markdown": "md"}.get(fmt.lower(), fmt.lower())
+    if check:
+        check_targets(df, extension, base)
+    content = render(df, fmt, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -76,8 +102,8 @@ def save(df: DataFrame, folder: str, fmt: str, **options) -> DataFrame:
         for batch in batches:
             paths = []
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                stem = posixpath.basename(doc_id or "document")
-                path = posixpath.join(root, f"{stem.rsplit('.', 1)[0]}.{extension}")
+                path = posixpath.join(root, target_of(doc_id, extension, base))
+                files.create_dir(posixpath.dirname(path), recursive=True)
                 beside = f"{path}.{uuid.uuid4().hex}"
                 with files.open_output_stream(beside, compression=None) as f:
                     f.write(data)

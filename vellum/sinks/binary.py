@@ -132,7 +132,9 @@ def _strings(strings: list[str], total: int) -> bytes:
     """The shared table, broken into records where one is full; a string goes on with its width repeated."""
     out, part, kind = b"", struct.pack("<II", total, len(strings)), 0xFC
     for s in strings:
-        raw = s.encode("utf-16-le", "replace")[: 2 * 32767]
+        raw = s.encode("utf-16-le", "replace")
+        if len(raw) > 2 * XLS_CHARS:
+            raise ValueError(f"a text of {len(raw) // 2} characters, and an XLS cell has {XLS_CHARS}")
         if len(part) + 3 > RECORD_BYTES:
             out, part, kind = out + _record(kind, part), b"", 0x3C
         part += struct.pack("<HB", len(raw) // 2, 1)
@@ -144,15 +146,29 @@ def _strings(strings: list[str], total: int) -> bytes:
     return out + _record(kind, part)
 
 
+#: What a BIFF8 sheet holds, and the characters of a text (fixed by the format).
+XLS_ROWS, XLS_COLUMNS, XLS_CHARS = 65536, 256, 65535
+
+
+def xls_sheets(doc: dict) -> list[tuple[str, list[list[str]]]]:
+    """The document's sheets, the rows beyond what a sheet holds on further ones; what the format cannot hold is an error."""
+    out = []
+    for name, rows in sheets_of(doc):
+        if (widest := max(map(len, rows), default=0)) > XLS_COLUMNS:
+            raise ValueError(f"{name}: {widest} columns, and an XLS sheet has {XLS_COLUMNS}")
+        out += [(name if not at else f"{name[:24]} ({at // XLS_ROWS + 1})", rows[at : at + XLS_ROWS]) for at in range(0, max(1, len(rows)), XLS_ROWS)]
+    return out
+
+
 def render_xls(doc: dict) -> bytes:
     """BIFF8: numbers as NUMBER, texts by the shared table."""
-    sheets, shared, total = sheets_of(doc), {}, 0
+    sheets, shared, total = xls_sheets(doc), {}, 0
     bodies = []
     for _, rows in sheets:
         body = _record(0x809, struct.pack("<HHHHII", 0x600, 0x10, 0x0DBB, 0x07CC, 0, 6))
         body += _record(0x200, struct.pack("<IIHHH", 0, len(rows), 0, max(map(len, rows), default=0), 0))
-        for i, row in enumerate(rows[:65536]):
-            for j, v in enumerate(row[:256]):
+        for i, row in enumerate(rows):
+            for j, v in enumerate(row):
                 if NUMERIC.fullmatch(v):
                     body += _record(0x203, struct.pack("<HHHd", i, j, 0, float(v)))
                 else:

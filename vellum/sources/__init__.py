@@ -71,8 +71,8 @@ def parse_files(files: DataFrame, name_col: str = "path", data_col: str = "conte
     return files.select(F.col(name_col).cast("string").alias("name"), F.col(data_col).cast("binary").alias("data")).mapInArrow(run, m.DOCUMENT)
 
 
-def read(spark: SparkSession, *paths: str, **options) -> DataFrame:
-    """Documents of files and folders (with all below them)."""
+def files_of(spark: SparkSession, *paths: str) -> DataFrame:
+    """Spark's rows of files and folders (with all below them): path, modificationTime, length, content."""
     glob = "*.{" + ",".join(PARSERS) + "}"
     out = None
     for path in paths:
@@ -81,7 +81,12 @@ def read(spark: SparkSession, *paths: str, **options) -> DataFrame:
         reader = spark.read.format("binaryFile")
         files = (reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob) if folder else reader).load(path)
         out = files if out is None else out.unionByName(files)
-    return parse_files(out, **options)
+    return out
+
+
+def read(spark: SparkSession, *paths: str, **options) -> DataFrame:
+    """Documents of files and folders (with all below them)."""
+    return parse_files(files_of(spark, *paths), **options)
 
 
 def read_stream(spark: SparkSession, folder: str, **options) -> DataFrame:

@@ -94,6 +94,10 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages) -> None:
         files, _ = filesystem(self.path)
+        targets = [b for message in messages for _a, b in (message.moves if message else ())]
+        if len(set(targets)) < len(targets):
+            self.abort(messages)
+            raise ValueError(f"several documents would be one file: {next(x for x in targets if targets.count(x) > 1)}")
         for message in messages:
             for a, b in message.moves if message else ():
                 files.move(a, b)

@@ -248,6 +248,7 @@ def parse_html(data: bytes, name: str = "", scripts: bool = True, **_) -> dict:
 
 # Markdown
 
+# The patterns of blocks.
 RULE, ITEM = re.compile(r"[-*_]{3,}\s*"), re.compile(r"(?:\d+\.|[-*+])\s+")
 HEAD, PICTURE = re.compile(r"(#{1,6})\s+(.+)"), re.compile(r'!\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\)')
 # The patterns of inline marks.
@@ -377,16 +378,21 @@ def parse_markdown(data: bytes, name: str = "", **_) -> dict:
 
 # CSV
 
+#: The usual limit for those who want one (fixed).
 ROW_LIMIT = 10_000
 
 
-def parse_csv(data: bytes, name: str = "", delimiter: str | None = None, enclosure: str = '"', header: bool = True, limit: int | None = ROW_LIMIT, **_) -> dict:
-    """One section `data` with one table; ragged rows and blank lines (one empty cell) stay. limit=None reads all rows."""
+def parse_csv(data: bytes, name: str = "", delimiter: str | None = None, enclosure: str = '"', header: bool = True, limit: int | None = None, **_) -> dict:
+    """One section `data` with one table; ragged rows and blank lines (one empty cell) stay.
+
+    All rows are read; with a limit so many are kept, and the metadata `rows_left_out` says how many are not.
+    """
     delimiter = delimiter or ("\t" if name.lower().endswith(".tsv") else ",")
     text = data.decode("utf-8-sig", "replace")
-    rows = []
+    rows, left_out = [], 0
     for row in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar=enclosure, doublequote=True):
         if limit is not None and len(rows) >= limit:
-            break
-        rows.append((header and not rows, row or [""]))
-    return m.document("csv", stem(name), [m.section("data", [m.table(rows)])])
+            left_out += 1
+        else:
+            rows.append((header and not rows, row or [""]))
+    return m.document("csv", stem(name), [m.section("data", [m.table(rows)])], {"rows_left_out": str(left_out)} if left_out else {})

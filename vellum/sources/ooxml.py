@@ -216,6 +216,7 @@ def parse_docx(data: bytes, name: str = "", **_) -> dict:
 
 # XLSX
 
+#: The usual limit for those who want one (fixed).
 SHEET_LIMIT = 50 * 1024 * 1024
 
 
@@ -251,8 +252,11 @@ def _sheet_rows(root: ET.Element, shared: list[str]) -> list[list[str]]:
     return rows
 
 
-def parse_xlsx(data: bytes, name: str = "", sheet_limit: int = SHEET_LIMIT, **_) -> dict:
-    """A section for each sheet with rows; sheets above sheet_limit bytes (unpacked) are left out unread."""
+def parse_xlsx(data: bytes, name: str = "", sheet_limit: int | None = None, **_) -> dict:
+    """A section for each sheet with rows.
+
+    With a limit, sheets of more bytes (unpacked) are left out unread, and the metadata `sheets_left_out` names them.
+    """
     pack = Package(data)
     root = pack.xml("xl/sharedStrings.xml")
     shared = ["".join(t.text or "" for t in si.iter("t")) for si in root.iter("si")] if root is not None else []
@@ -260,9 +264,9 @@ def parse_xlsx(data: bytes, name: str = "", sheet_limit: int = SHEET_LIMIT, **_)
     sheets = [(s.get("name", ""), rels.get(s.get("r:id", ""), "")) for s in book.iter("sheet")] if book is not None else []
     if not sheets:
         sheets = [(f"Sheet{k}", f"xl/worksheets/sheet{k}.xml") for k in range(1, 11) if f"xl/worksheets/sheet{k}.xml" in pack.names]
-    made = []
+    made, left_out = [], [label for label, path in sheets if sheet_limit is not None and pack.size(path) > sheet_limit]
     for label, path in sheets:
-        root = pack.xml(path) if 0 < pack.size(path) <= sheet_limit else None
+        root = pack.xml(path) if label not in left_out and pack.size(path) > 0 else None
         rows = _sheet_rows(root, shared) if root is not None else []
         if rows:
             made.append(m.section(label, [m.table([(k == 0, r) for k, r in enumerate(rows)])]))
@@ -271,7 +275,7 @@ def parse_xlsx(data: bytes, name: str = "", sheet_limit: int = SHEET_LIMIT, **_)
         made = made or [m.section(sheets[0][0] if sheets else "Sheet1")]
         made[0]["elements"] += pictures
     title, meta = pack.properties()
-    return m.document("xlsx", title or stem(name), made, meta)
+    return m.document("xlsx", title or stem(name), made, meta | ({"sheets_left_out": ", ".join(left_out)} if left_out else {}))
 
 
 # PPTX
