@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -235,6 +235,10 @@ def cid_collapse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.collapse_letter_spacing(F.regexp_replace("text", r"(\S)", "$1 ")).alias("text"))
 
 
+#: By type its pattern for DuckDB, one whose first group is the match, and the value of the match `raw`; in the order of the rules.
+ENTITY_SQL: dict[str, tuple] = {}
+
+
 def _entity_query(name: str, pattern: str | None, within: str | None = None):
     """pattern: for DuckDB; within: one whose first group is the match, where a border has to be part of the pattern."""
     rule = next(r for r in text.ENTITY_RULES if r[0] == name)
@@ -249,6 +253,7 @@ def _entity_query(name: str, pattern: str | None, within: str | None = None):
         part = lambda k: f"regexp_extract(raw, '{pattern}', {k})"
         value = f"lpad({part(1)}, 2, '0') || '/' || lpad({part(2)}, 2, '0') || '/' || CASE WHEN length({part(3)}) = 2 THEN '20' || {part(3)} ELSE {part(3)} END"
     found = f"regexp_extract_all(text, '{within}', 1)" if within else f"regexp_extract_all(text, '{pattern}')"
+    ENTITY_SQL[rule[1]] = pattern, within, value
     query(f"SELECT doc_id, '{rule[1]}' AS type, raw, {value} AS value, count(*) AS n FROM (SELECT doc_id, unnest({found}) AS raw FROM documents) GROUP BY ALL")(run)
 
 
@@ -265,11 +270,25 @@ _entity_query("reference", None, r"(?:^|[^\p{L}\p{N}_])((?i:R[ée]f|N°|Ref|Doss
 _entity_query("spaced_number", r"\b(?:[0-9]{1,3}(?:\s[0-9]{3}){1,4})\b")
 
 
-@query()
+def _all_entities() -> str:
+    """DuckDB: the rules one after the other; each finds its matches and those that normalise put them in place of what they found."""
+    steps = ["t0 AS (SELECT doc_id, text, CAST([] AS VARCHAR[]) AS found FROM documents)"]
+    for k, (kind, (pattern, within, value)) in enumerate(ENTITY_SQL.items()):
+        met = f"regexp_extract_all(text, '{within}', 1)" if within else f"regexp_extract_all(text, '{pattern}')"
+        gaps = f"regexp_split_to_array(text, '{pattern}')"
+        normal = value.replace("raw", "x")
+        text_after = "text" if value == "raw" else f"CASE WHEN len(raws) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(raws) + 2), lambda i: ({gaps})[i] || coalesce(vals[i], '')), '') END"
+        steps.append(f"m{k} AS (SELECT doc_id, text, found, {met} AS raws FROM t{k}), v{k} AS (SELECT *, list_transform(raws, lambda x: {normal}) AS vals FROM m{k})")
+        steps.append(f"t{k + 1} AS (SELECT doc_id, {text_after} AS text, list_concat(found, list_transform(range(1, len(raws) + 1), lambda i: '{kind}:' || raws[i] || '>' || vals[i])) AS found FROM v{k})")
+    return f"WITH {', '.join(steps)} SELECT doc_id, text AS rewritten, array_to_string(found, chr(10)) AS entities FROM t{len(ENTITY_SQL)}"
+
+
+@query(_all_entities())
 def entities_all(spark, sf_dir):
-    """All rules in their order, each on what the one before has made of the text."""
+    """All rules in their order, each on what the one before has made of the text; entities as `type:raw>value`, a line each."""
     out = text.with_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("text").alias("rewritten"), "entities")
+    listed = F.array_join(F.transform("entities", lambda e: F.concat(e["type"], F.lit(":"), e["raw"], F.lit(">"), e["value"])), "\n")
+    return out.select("doc_id", F.col("text").alias("rewritten"), listed.alias("entities"))
 
 
 
@@ -344,18 +363,62 @@ def spell_candidates(spark, sf_dir):
     return correct.closest(words, known, 1, MIN_FREQUENCY)
 
 
-@query()
+#: DuckDB: the tokens with a letter of each line of the conversations, with what stands before them, their letters and their neighbours.
+TALK = r"""
+talk AS (SELECT conv_id || ':' || turn AS doc_id, text FROM conversations),
+tl AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_ix FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM talk)),
+tp AS (SELECT doc_id, line_ix, regexp_extract_all(line, '\S*\p{L}\S*') AS toks, regexp_split_to_array(line, '\S*\p{L}\S*') AS gaps FROM tl),
+tk AS (SELECT doc_id, line_ix, i, gaps[i] AS gap, toks[i] AS tok, regexp_replace(toks[i], '[^\p{L}]', '', 'g') AS w, len(toks) AS n,
+  CASE WHEN i > 1 THEN toks[i - 1] END AS before, toks[i + 1] AS after, CASE WHEN i > 1 THEN regexp_replace(toks[i - 1], '[^\p{L}]', '', 'g') END AS bw, regexp_replace(toks[i + 1], '[^\p{L}]', '', 'g') AS aw
+  FROM (SELECT *, unnest(range(1, len(gaps) + 1)) AS i FROM tp))"""
+LIKE = r"CASE WHEN upper(w) = w THEN upper({0}) WHEN regexp_matches(w, '^\p{{Lu}}') THEN upper(substr({0}, 1, 1)) || substr({0}, 2) ELSE {0} END"
+
+
+def _as_text(corrections: str) -> Column:
+    """`from>to` of each correction, in order."""
+    return F.array_join(F.transform(corrections, lambda c: F.concat(c["from"], F.lit(">"), c["to"])), ",")
+
+
+@query(f"""
+WITH {TALK},
+known AS (SELECT word, count(*) AS freq FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY word HAVING count(*) >= 2),
+asked AS (SELECT DISTINCT lower(w) AS word FROM tk WHERE length(w) >= 5 AND lower(w) NOT IN (SELECT word FROM known)),
+near AS (SELECT DISTINCT a.word, b.word AS candidate, b.freq, levenshtein(a.word, b.word) AS dist FROM ({LEFT_OUT.format('asked', '0 AS freq')}) a JOIN ({LEFT_OUT.format('known', 'freq')}) b ON a.v = b.v
+  WHERE abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) <= 1),
+best AS (SELECT word, candidate FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, candidate) AS r FROM near) WHERE r = 1 AND freq >= 100),
+fixed AS (SELECT tk.*, CASE WHEN length(w) >= 5 AND NOT (regexp_matches(w, '^\\p{{Lu}}\\p{{Ll}}') AND (coalesce(regexp_matches(before, '^\\p{{Lu}}'), false) OR coalesce(regexp_matches(after, '^\\p{{Lu}}\\p{{Ll}}'), false))) THEN {LIKE.format('candidate')} END AS new
+  FROM tk LEFT JOIN best ON best.word = lower(w)),
+lines AS (SELECT doc_id, line_ix, string_agg(gap || coalesce(CASE WHEN new IS NULL THEN tok ELSE replace(tok, w, new) END, ''), '' ORDER BY i) AS line FROM fixed GROUP BY doc_id, line_ix),
+made AS (SELECT doc_id, string_agg(w || '>' || new, ',' ORDER BY line_ix, i) AS corrections FROM fixed WHERE new IS NOT NULL GROUP BY doc_id)
+SELECT l.doc_id, string_agg(line, chr(10) ORDER BY line_ix) AS text, coalesce(any_value(corrections), '') AS corrections FROM lines l LEFT JOIN made ON made.doc_id = l.doc_id GROUP BY l.doc_id""")
 def spell_correct(spark, sf_dir):
     known = train.filter_by_frequency(train.dictionary(table(spark, sf_dir, "documents")), 2, 2)
     talk = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
-    return correct.spell_correct(talk, known)
+    return correct.spell_correct(talk, known).withColumn("corrections", _as_text("corrections"))
 
 
-@query()
+@query(f"""
+WITH {TALK},
+u AS (SELECT word, count(*) AS freq FROM (SELECT unnest({NGRAM_WORDS}) AS word FROM documents) GROUP BY word),
+b AS (SELECT w1, w2, count(*) AS n FROM ({PAIRS}) GROUP BY w1, w2),
+one AS (SELECT sum(freq) AS total FROM u),
+ctx AS (SELECT *, lower(w) AS word, lower(bw) AS p, lower(aw) AS nx, n >= 2 AND length(w) >= 4 AND NOT (regexp_matches(w, '^\\p{{Lu}}') AND NOT (upper(w) = w AND length(w) > 3)
+  AND (coalesce(regexp_matches(bw, '^\\p{{Lu}}'), false) OR coalesce(regexp_matches(aw, '^\\p{{Lu}}'), false))) AS asked FROM tk),
+cases AS (SELECT DISTINCT word, p, nx FROM ctx WHERE asked AND word NOT IN (SELECT word FROM u)),
+words AS (SELECT DISTINCT word FROM cases),
+near AS (SELECT DISTINCT x.word, y.word AS candidate, y.freq FROM ({LEFT_OUT.format('words', '0 AS freq')}) x JOIN ({LEFT_OUT.format('u', 'freq')}) y ON x.v = y.v
+  WHERE abs(length(x.word) - length(y.word)) <= 1 AND levenshtein(x.word, y.word) = 1),
+scored AS (SELECT c.word, c.p, c.nx, candidate, near.freq, near.freq / total::DOUBLE + CASE WHEN fp.freq > 0 THEN 2 * coalesce(b1.n, 0) / fp.freq::DOUBLE ELSE 0 END + 2 * coalesce(b2.n, 0) / near.freq::DOUBLE AS score, 5.0 / total AS least
+  FROM cases c JOIN near ON near.word = c.word CROSS JOIN one LEFT JOIN u fp ON fp.word = c.p LEFT JOIN b b1 ON b1.w1 = c.p AND b1.w2 = candidate LEFT JOIN b b2 ON b2.w1 = candidate AND b2.w2 = c.nx),
+best AS (SELECT word, p, nx, candidate FROM (SELECT *, row_number() OVER (PARTITION BY word, p, nx ORDER BY score DESC, freq DESC, candidate) AS r FROM scored WHERE score > least) WHERE r = 1),
+fixed AS (SELECT ctx.*, CASE WHEN asked THEN candidate END AS new FROM ctx LEFT JOIN best ON best.word = ctx.word AND best.p IS NOT DISTINCT FROM ctx.p AND best.nx IS NOT DISTINCT FROM ctx.nx),
+lines AS (SELECT doc_id, line_ix, string_agg(gap || coalesce(CASE WHEN new IS NULL THEN tok ELSE {LIKE.format('new')} END, ''), '' ORDER BY i) AS line FROM fixed GROUP BY doc_id, line_ix),
+made AS (SELECT doc_id, string_agg(w || '>' || new, ',' ORDER BY line_ix, i) AS ngram_corrections FROM fixed WHERE new IS NOT NULL GROUP BY doc_id)
+SELECT l.doc_id, string_agg(line, chr(10) ORDER BY line_ix) AS text, coalesce(any_value(ngram_corrections), '') AS ngram_corrections FROM lines l LEFT JOIN made ON made.doc_id = l.doc_id GROUP BY l.doc_id""")
 def ngram_correct(spark, sf_dir):
     model = train.NgramModel.train(table(spark, sf_dir, "documents"))
     talk = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
-    return correct.ngram_correct(talk, model)
+    return correct.ngram_correct(talk, model).withColumn("ngram_corrections", _as_text("ngram_corrections"))
 
 
 @query()
