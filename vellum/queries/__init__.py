@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, documents
+from . import corpus, documents, formats
 
-QUERIES: dict = {**corpus.Q, **documents.Q}
-ORACLES: dict[str, str] = {**corpus.SQL, **documents.SQL}
+QUERIES: dict = {**corpus.Q, **documents.Q, **formats.Q}
+ORACLES: dict[str, str] = {**corpus.SQL, **documents.SQL, **formats.SQL}
