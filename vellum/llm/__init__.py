@@ -17,4 +17,4 @@ QUERIES = {
     "op10_source_mix": mixing.op10_source_mix,
 }
 
-ORACLES = {"op3_url_shift_and": urlfilter.OP3_SQL, "op6_license_scan": license.oracle_sql(), "op9_repetition_rules": quality.oracle_sql()}
+ORACLES = {"op3_url_shift_and": urlfilter.OP3_SQL, "op6_license_scan": license.oracle_sql(), "op8_line_winnow": linededup.oracle_sql(), "op9_repetition_rules": quality.oracle_sql()}

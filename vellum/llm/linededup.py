@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, numbered, table, word_count, written
+from .common import WORD, Scratch, numbered, table, word_count, written
 
 MIN_WORDS = 10
 SPACE = " \t\n\x0b\x0c\r"
@@ -100,4 +100,29 @@ def op8_line_winnow(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"), "text")
     out = dedup_lines(docs, runs_col="removed_runs")
     removed = F.aggregate(F.coalesce("removed_runs", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
-    return out.select("doc_id", "text", F.size(F.split("whole", "\n", -1)).alias("n_lines"), removed.alias("n_removed"), "removed_runs")
+    listed = F.array_join(F.transform("removed_runs", lambda r: F.concat_ws("-", r["first"], r["last"])), ",")
+    return out.select("doc_id", "text", F.size(F.split("whole", "\n", -1)).alias("n_lines"), removed.alias("n_removed"), F.coalesce(listed, F.lit("")).alias("removed_runs"))
+
+
+def oracle_sql(min_words: int = MIN_WORDS) -> str:
+    """The query in DuckDB SQL: all windows by their whole text, without hashes and fingerprints. doc_id has to be unique and not null."""
+    return f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+worded AS (SELECT *, row_number() OVER o AS n, sum(words) OVER o AS upto FROM (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x, len(regexp_extract_all(line, '{WORD}')) AS words FROM l) WHERE words > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+w AS (SELECT *, upto - words AS before FROM worded),
+windows AS (
+  SELECT doc_id, n AS a, max(n) OVER f AS b, pos AS first, max(pos) OVER f AS last, 'f' || string_agg(x, chr(10)) OVER f AS body, sum(words) OVER f AS total FROM w
+    WINDOW f AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND {min_words - 1} FOLLOWING)
+  UNION ALL SELECT doc_id, a, b, first, last, body, total FROM (
+    SELECT doc_id, words, min(n) OVER g AS a, n AS b, min(pos) OVER g AS first, pos AS last, 'b' || string_agg(x, chr(10)) OVER g AS body, sum(words) OVER g AS total FROM w
+      WINDOW g AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN {min_words - 1} PRECEDING AND CURRENT ROW)) WHERE words < {min_words}),
+whole AS (SELECT * FROM windows WHERE total >= {min_words}),
+firsts AS (SELECT body, min({{'d': doc_id, 'a': a, 'b': b}}) AS f FROM whole GROUP BY body HAVING count(*) > 1),
+later AS (SELECT whole.* FROM whole JOIN firsts ON firsts.body = whole.body WHERE NOT (doc_id = f.d AND a <= f.b)),
+m AS (SELECT doc_id, a, max(b) AS b, min(first) AS first, max(last) AS last FROM later GROUP BY doc_id, a),
+o AS (SELECT *, CAST(a > coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -2) + 1 AS INTEGER) AS fresh FROM m),
+runs AS (SELECT doc_id, run, min(first) AS first, max(last) AS last FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS run FROM o) GROUP BY doc_id, run),
+gone AS (SELECT doc_id, sum(last - first + 1) AS n, string_agg(first || '-' || last, ',' ORDER BY first) AS said FROM runs GROUP BY doc_id),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM l LEFT JOIN runs ON runs.doc_id = l.doc_id AND pos BETWEEN first AND last WHERE runs.doc_id IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, CAST(len(string_split(d.text, chr(10))) AS INTEGER) AS n_lines, CAST(coalesce(gone.n, 0) AS INTEGER) AS n_removed, coalesce(said, '') AS removed_runs
+FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = d.doc_id"""
