@@ -80,17 +80,39 @@ def element_type_counts(spark, sf_dir):
     return model.elements(pages(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
+@query(f"""WITH {BLOCKS}
+SELECT page_id, string_agg(CASE WHEN block LIKE '<h1>%' THEN '# ' || text WHEN block LIKE '<p><b>%' THEN '**' || rtrim(text, chr(10)) || '**' || CASE WHEN block LIKE '%<br>' THEN chr(10) ELSE '' END ELSE text END || chr(10) || chr(10), '' ORDER BY element_ix) AS markdown
+FROM elements GROUP BY page_id""")
 def html_to_markdown(spark, sf_dir):
     return pages(spark, sf_dir).select(page_id().alias("page_id"), render.render_markdown().alias("markdown"))
 
 
-@query()
+#: DuckDB: a text in HTML, and a run with the style of bold text of a size.
+ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')"
+BOLD = "'<span style=\"font-family:Helvetica,sans-serif;font-size:{0}pt;color:#000000;font-weight:bold\">' || " + ESCAPED.format("rtrim(text, chr(10))") + " || '</span>'"
+
+
+@query(f"""WITH {BLOCKS},
+made AS (SELECT page_id, string_agg(CASE WHEN block LIKE '<h1>%' THEN '<h1 style="text-align:left;margin-bottom:6pt;line-height:1.15">' || {BOLD.format(24)} || '</h1>'
+  ELSE '<p>' || CASE WHEN block LIKE '<p><b>%' THEN {BOLD.format(12)} || CASE WHEN block LIKE '%<br>' THEN chr(10) ELSE '' END ELSE {ESCAPED.format('text')} END || '</p>' END || chr(10), '' ORDER BY element_ix) AS body FROM elements GROUP BY page_id)
+SELECT page_id, '<!DOCTYPE html>' || chr(10) || '<html lang="fr">' || chr(10) || '<head>' || chr(10) || '<meta charset="UTF-8">' || chr(10) || '<meta name="viewport" content="width=device-width, initial-scale=1.0">' || chr(10)
+  || '<title>' || {ESCAPED.format(ENTITIES.format("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} || '</title>' || chr(10) || '<style>{render.STYLE_SHEET}</style>' || chr(10) || '</head>' || chr(10)
+  || '<body style="font-family:Helvetica,sans-serif;font-size:12pt;color:#000000;max-width:800px;margin:0 auto;padding:40px 20px;">' || chr(10) || '<section id="main">' || chr(10) || body || '</section>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS html
+FROM pages JOIN made USING (page_id)""")
 def html_to_html(spark, sf_dir):
     return pages(spark, sf_dir).select(page_id().alias("page_id"), render.render_html().alias("html"))
 
 
-@query()
+#: DuckDB: a run of bold text of a size in the JSON form, and one without a style.
+JSON_BOLD = """'{"text":' || to_json(rtrim(text, chr(10)))::VARCHAR || ',"style":{"fontFamily":"Helvetica","fontSize":SIZE,"color":"#000000","bold":true,"italic":false,"underline":false}}'"""
+JSON_PLAIN = """'{"text":' || to_json(X)::VARCHAR || ',"style":null}'"""
+
+
+@query(f"""WITH {BLOCKS},
+made AS (SELECT page_id, string_agg('{{"type":"paragraph","text":' || to_json(text)::VARCHAR || ',"runs":[' || CASE WHEN block LIKE '<h1>%' THEN {JSON_BOLD.replace('SIZE', '24.0')}
+  WHEN block LIKE '<p><b>%' THEN {JSON_BOLD.replace('SIZE', '12.0')} || CASE WHEN block LIKE '%<br>' THEN ',' || {JSON_PLAIN.replace('X', 'chr(10)')} ELSE '' END ELSE {JSON_PLAIN.replace('X', 'text')} END
+  || '],"style":' || CASE WHEN block LIKE '<h1>%' THEN '{{"alignment":"left","spaceBefore":0.0,"spaceAfter":6.0,"lineSpacing":1.15,"headingLevel":1}}' ELSE 'null' END || '}}', ',' ORDER BY element_ix) AS body FROM elements GROUP BY page_id)
+SELECT page_id, '{{"format":"html","title":' || to_json({ENTITIES.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")})::VARCHAR || ',"metadata":{{}},"sections":[{{"name":"main","elements":[' || body || ']}}]}}' AS json FROM pages JOIN made USING (page_id)""")
 def documents_json(spark, sf_dir):
     return model.to_json(pages(spark, sf_dir)).select(page_id().alias("page_id"), "json")
 
