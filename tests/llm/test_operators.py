@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from vellum.llm import ORACLES, QUERIES, license, linededup, media, mixing, packing, quality, simhash, tokencount, toxicity, urlfilter
-from vellum.llm.common import clear_scratch, fresh, shared_dir, word_count, written
+from vellum.llm.common import Scratch, clear_scratch, fresh, shared_dir, word_count, written
 
 ODD = [(1, "a b\nc"), (2, None), (3, ""), (4, " \n\t "), (5, "a b\nc"), (5, "a b\nc"), (None, "x # y"), (7, "word " * 40_000), (8, "é" * 5000), (9, "Don't  stop\n\n now<|endoftext|>ok 日本 \U0001f600")]
 
@@ -580,6 +580,26 @@ def test_recall_of_copies_in_documents(spark, texts):
     assert len(near) > 150 and np.mean(found) > 0.97  # most groups have several links
 
 
+def test_prefixes_leave_out_no_similar_pair(spark):
+    """Sets of 1 to 60 shingles of words out of small stores: every pair of similarity 0.8 and more is among the pairs, and far from all pairs are."""
+    rng, texts = np.random.default_rng(13), []
+    for n in (5, 6, 8, 12, 20, 60):
+        for _ in range(6):
+            base = [f"w{i}" for i in rng.integers(0, 400, n)]
+            for k in range(8):
+                other = base.copy()
+                for j in rng.choice(n, k % 4, replace=False):
+                    other[j] = f"x{rng.integers(0, 30)}"
+                texts.append(" ".join(other))
+    texts = sorted(set(texts))
+    own = spark.createDataFrame([(f"k{i:04d}", t) for i, t in enumerate(texts)], "key string, text string")
+    with Scratch(spark) as scratch:
+        got = {(r.a, r.b) for r in simhash.pairs_by_prefix(own.select("key", F.concat(F.lit("r"), "key").alias("root")), own, 5, 0.8, scratch).collect()}
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    near = {(f"k{j:04d}", f"k{i:04d}") for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near and near <= got and len(got) < len(texts) * (len(texts) - 1) / 20
+
+
 def test_star_of_copies_is_asked_whole(spark):
     texts, near = star_of_copies(400, 300, 5, 1)
     among = [(i, j) for i, j in near if j]

@@ -176,6 +176,8 @@ def op7_simhash_ball(spark, sf_dir) -> DataFrame:
 WIDTH, SIMILARITY = 5, 0.8
 #: Share of the pairs of just that similarity which shall meet, and what asking a pair that meets by chance costs, in emitted variants.
 RECALL, STRANGER_COST = 0.9, 16.0
+#: Texts of a value up to which all its pairs are asked; larger ones go by the texts' rarest shingles.
+FEW = 8
 #: Variants that a text emits at once; the families are dealt over as many rounds as that takes, which bounds the shuffled bytes of a round.
 ROUND_ROWS = 128
 #: In a packed fingerprint the lowest six bits tell which bit is flipped; this value: none.
@@ -248,19 +250,43 @@ def first_pairs(met: DataFrame) -> DataFrame:
     return asked.select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct()
 
 
-def pairs_between(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs (a, b), a < b, of the keys of members(at, key, root) that share an `at` and have different roots.
+def mixed_values(members: DataFrame) -> DataFrame:
+    """(at, main, total) for the values of members(at, key, root) that keys of several roots share: the commonest root and the number of keys."""
+    sizes = members.groupBy("at", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("at").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"), F.sum("n").alias("total"))
+    return mixed.where("roots > 1").select("at", F.col("m.root").alias("main"), "total")
+
+
+def pairs_between(members: DataFrame, mixed: DataFrame, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b), a < b, of the keys of members(at, key, root) that share one of the values mixed(at, main) and have different roots.
 
     The keys of a value's commonest root are only paired with its other keys, never with each other.
     """
-    sizes = members.groupBy("at", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("at").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("at", F.col("m.root").alias("main"))
-    mixed = scratch.written(mixed, "mixed-values")
-    others = scratch.written(members.join(mixed, "at").where("root <> main").select("at", "main", F.col("key").alias("k"), F.col("root").alias("r")), "other-members")
+    others = scratch.written(members.join(mixed.select("at", "main"), "at").where("root <> main").select("at", "main", F.col("key").alias("k"), F.col("root").alias("r")), "other-members")
     pairs = others.join(members, "at").where("r <> root AND (root = main OR k < key)")
     return pairs.select(F.least("k", "key").alias("a"), F.greatest("k", "key").alias("b")).distinct()
 
 
+def pairs_by_prefix(rooted: DataFrame, own: DataFrame, width: int, least: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of the keys of rooted(key, root) with different roots that may have the similarity `least`: none of those that do is left out.
+
+    With the shingles of every set in one order, rarest first, two sets of that similarity share one of their first
+    n - ceil(least * n) + 1. Copies that have each been changed in many places begin with shingles of their own, so a
+    large group of them, near to one text and not to each other, gives few pairs, where its members meet in every family.
+    """
+    wanted = scratch.written(own.join(rooted, "key").groupBy("key", "root").agg(F.first("text").alias("text")), "crowd-texts")
+    hashed = lambda b: {"key": b.column(0), "root": b.column(1), "t": pa.array([np.unique(shingle_hashes(x, width)).view(np.int64) for x in utf8_values(b.column(2))], pa.list_(pa.int64()))}
+    sets = scratch.written(map_rows(wanted, hashed, "key string, root string, t array<long>"), "crowd-sets")
+    shingles = scratch.written(sets.select("key", "root", F.size("t").alias("n"), F.explode("t").alias("t")), "crowd-shingles")
+    counts = scratch.written(shingles.groupBy("t").agg(F.count("*").alias("c")), "crowd-counts")
+    counted = scratch.written(shingles.join(counts, "t"), "crowd-counted")
+    # one text's own shingles, in order
+    first = F.slice(F.sort_array(F.collect_list(F.struct("c", "t"))), 1, (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))
+    heads = counted.groupBy("key", "root", "n").agg(first.alias("x")).select("key", "root", F.explode("x").alias("x")).where("x.c > 1")
+    members = scratch.written(heads.select(F.col("x.t").alias("at"), "key", "root"), "crowd-prefixes")
+    return pairs_between(members, scratch.written(mixed_values(members), "crowd-values"), scratch)
+
+
 def most_differing(bits: int, least: float) -> int:
     """Differing bits that two texts of similarity `least` exceed once in 10 ** 9 pairs: six standard deviations more than the mean."""
     share = differing_share(least)
@@ -293,7 +319,8 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     (`most_differing`) are not asked.
 
     First few pairs of each text are asked, which links most copies. Then all pairs that meet and are not yet in one group
-    are, so the groups are those of all candidates, while the members of a large group are not compared with each other.
+    are, so the groups are those of all candidates, while the members of a large group are not compared with each other; at
+    values that many texts of several groups share, only those pairs whose rarest shingles leave the similarity possible.
     """
     spark = df.sparkSession
     with Scratch(spark) as scratch:
@@ -350,7 +377,15 @@ def _groups(scratch: Scratch, own: DataFrame, prints: DataFrame, met: DataFrame,
     # texts of one value share that value itself, whose lowest bits no meeting value has
     members = rooted.join(met.select("x", "at"), "x").select("at", "key", "root").unionByName(rooted.select(F.col("x").alias("at"), "key", "root"))
     members = scratch.written(members, "members")
-    rest = scratch.written(pairs_between(members, scratch).join(first, ["a", "b"], "left_anti"), "other-candidates")
+    mixed = scratch.written(mixed_values(members), "mixed-values")
+    few = F.col("total") <= FEW
+    # values that few texts share are asked pair by pair, so at most FEW pairs a text and value; for the crowded ones the
+    # pairs come from the texts' own shingles, which leaves out none that is similar
+    crowd = scratch.written(members.join(mixed.where(~few).select("at"), "at", "left_semi").select("key", "root").distinct(), "crowd")
+    pairs = pairs_between(members, mixed.where(few), scratch)
+    if crowd.limit(1).count():
+        pairs = pairs.unionByName(pairs_by_prefix(crowd, own, width, least, scratch)).distinct()
+    rest = scratch.written(pairs.join(first, ["a", "b"], "left_anti"), "other-candidates")
     if not rest.limit(1).count():
         return groups
     stars = groups.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))
