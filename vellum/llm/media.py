@@ -122,7 +122,7 @@ def owned(lists: str, part: int) -> set[bytes]:
     if files.get_file_info(folder).type == fs.FileType.NotFound:
         return set()
     names = sorted(x.path for x in files.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet"))
-    return {x for n in names for x in parquet.read_table(n, filesystem=files, columns=["digest"], filters=[("part", "=", part)], partitioning=None)["digest"].to_pylist()}
+    return {x for n in names for x in parquet.read_table(n, filesystem=files, columns=["digest"], filters=[("part", "=", part)], partitioning=None, use_threads=False, pre_buffer=False)["digest"].to_pylist()}
 
 
 def write_owned(texts: DataFrame, root: str, lists: str) -> DataFrame:
@@ -278,5 +278,8 @@ def op2_media_tar(spark, sf_dir) -> DataFrame:
     root = f"{fresh(spark, 'media')}/shards"
     rows, entries = store(table(spark, sf_dir, "documents"), root)
     # each entry is read once, however many rows point to it; a table, so that a payload that many rows share can be split in the join
-    found, _ = written(read_payloads(fill_metadata(by_address(entries), root), root), "media-features")
+    # the headers' columns are a table as well: two chained Python functions would take two workers for each core
+    with Scratch(spark) as scratch:
+        headed = scratch.written(fill_metadata(by_address(entries), root), "media-headed")
+        found, _ = written(read_payloads(by_address(headed), root), "media-features")
     return rows.join(found, "digest").drop("digest")
