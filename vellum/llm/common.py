@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import posixpath
-import re
 import sys
 import types
 import uuid
@@ -14,26 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import shared_dir
+
 #: Words of every contract: runs of bytes that are neither a space nor \t \n \v \f \r. `bytes.split()` gives the same.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_SHARED = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, as the cluster names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file://{LOCAL_SHARED}/{spark.sparkContext.applicationId}"
-
-
 #: Paths that operators have made in the shared folder, by application.
 SCRATCH: dict[str, list[str]] = {}
 
