@@ -45,3 +45,17 @@ def test_counts_are_partial_before_the_shuffle(spark, sf):
 def test_rendering_does_not_shuffle(spark, sf):
     for name in ("html_to_markdown", "html_to_html", "documents_json", "html_elements", "clean_noise", "entities_all"):
         assert "Exchange" not in plan(entry.queries()[name](spark, sf)), name
+
+
+def test_shared_folder():
+    """The cluster's folder if it names one; else only a local master has one."""
+    from vellum import scratch
+
+    def session(folder, master):
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: folder if key == "spark.checkpoint.dir" else default)})
+        return type("Session", (), {"conf": conf, "sparkContext": type("Context", (), {"master": master, "applicationId": "app"})})
+
+    assert scratch.shared_dir(session("hdfs://shared", "yarn")) == "hdfs://shared"
+    assert scratch.shared_dir(session(None, "local[4]")) == "file:///tmp/checkpoints/app" == scratch.shared_dir(session(None, "local"))
+    with pytest.raises(ValueError):
+        scratch.shared_dir(session(None, "local-cluster[3,2,1024]"))
