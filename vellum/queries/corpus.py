@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -270,6 +272,10 @@ _entity_query("reference", None, r"(?:^|[^\p{L}\p{N}_])((?i:R[ée]f|N°|Ref|Doss
 _entity_query("spaced_number", r"\b(?:[0-9]{1,3}(?:\s[0-9]{3}){1,4})\b")
 
 
+def _listed(entities: str) -> Column:
+    return F.array_join(F.transform(entities, lambda e: F.concat(e["type"], F.lit(":"), e["raw"], F.lit(">"), e["value"])), "\n")
+
+
 def _all_entities() -> str:
     """DuckDB: the rules one after the other; each finds its matches and those that normalise put them in place of what they found."""
     steps = ["t0 AS (SELECT doc_id, text, CAST([] AS VARCHAR[]) AS found FROM documents)"]
@@ -287,8 +293,7 @@ def _all_entities() -> str:
 def entities_all(spark, sf_dir):
     """All rules in their order, each on what the one before has made of the text; entities as `type:raw>value`, a line each."""
     out = text.with_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    listed = F.array_join(F.transform("entities", lambda e: F.concat(e["type"], F.lit(":"), e["raw"], F.lit(">"), e["value"])), "\n")
-    return out.select("doc_id", F.col("text").alias("rewritten"), listed.alias("entities"))
+    return out.select("doc_id", F.col("text").alias("rewritten"), _listed("entities").alias("entities"))
 
 
 
@@ -421,15 +426,25 @@ def ngram_correct(spark, sf_dir):
     return correct.ngram_correct(talk, model).withColumn("ngram_corrections", _as_text("ngram_corrections"))
 
 
-@query()
+def _layers() -> str:
+    """DuckDB: the SQL of the layers, each over what the one before gives."""
+    of = lambda name, source: re.sub(r"\bdocuments\b", source, SQL[name])
+    spelling = SQL["spell_correct"].replace("conv_id || ':' || turn AS doc_id, text FROM conversations", "doc_id, text FROM d2")
+    return f"""WITH d1 AS ({SQL['clean_noise']}), d2 AS ({of('confusion_fix', 'd1')}), d3 AS ({spelling}),
+d4 AS (SELECT doc_id, rewritten AS text, entities FROM ({of('entities_all', 'd3')})), d5 AS ({of('structure_markdown', 'd4')})
+SELECT d5.doc_id, markdown AS text, corrections, entities FROM d5 JOIN d3 ON d3.doc_id = d5.doc_id JOIN d4 ON d4.doc_id = d5.doc_id"""
+
+
+@query(_layers())
 def pipeline_layers(spark, sf_dir):
-    """Confusions, spelling, entities and structure as one pipeline."""
+    """Noise, confusions, spelling, entities and structure as one pipeline."""
     from ..plans.pipeline import from_config
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     known = train.filter_by_frequency(train.dictionary(docs), 2, 2)
     layers = from_config({"spell_correction": {"enabled": True}}, dictionary=known)
-    return layers(docs.withColumn("text", text.clean_ocr_noise(F.col("text"))))
+    out = layers(docs.withColumn("text", text.clean_ocr_noise(F.col("text"))))
+    return out.select("doc_id", "text", _as_text("corrections").alias("corrections"), _listed("entities").alias("entities"))
 
 
 @query(f"""
