@@ -48,3 +48,21 @@ def test_column_letters_of_all_keys(spark, tmp_path):
 
     got = {(r.c_custkey, r.letters, r.back) for r in entry.queries()["column_letters"](spark, str(tmp_path)).collect()}
     assert got == {(k, letters(k), k - 1) for k in keys}
+
+
+#: Pages whose titles and headings are cut within a reference, as those of the tables are, and one with such texts elsewhere.
+CUT = [
+    f"<!DOCTYPE html><html><head><title>{t}</title><script>a && b &amp</script></head><body><nav><ul><li><a href=\"/x\">x</a></li></ul></nav><div class=\"ad\">ad</div><article><h1>{t}</h1><p><b>{t}<br><p>{p}</p></article><footer>&copy; {t}</footer></body></html>"
+    for t, p in (("one&amp; two&amp", "three"), ("&lt;one&l", "a &lt b &ampere; c"), ("one &am", "a &amp;lt; & &copy d"), ("one &quot", "R&D &quot;two&quot; &gt"), ("plain", "&middot;"))
+]
+
+
+@pytest.mark.parametrize("name", ["documents_json"])
+def test_references_cut_off(spark, tmp_path, name):
+    spark.createDataFrame(list(enumerate(CUT)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    rows = sorted((tuple(norm(r[c]) for c in columns) for r in df.collect()), key=repr)
+    assert rows == sorted((tuple(norm(x) for x in r) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()), key=repr)
