@@ -57,7 +57,7 @@ CUT = [
 ]
 
 
-@pytest.mark.parametrize("name", ["documents_json", "element_type_counts", "html_elements", "html_first_headings", "html_runs", "html_titles", "html_to_html"])
+@pytest.mark.parametrize("name", ["documents_json", "element_type_counts", "html_elements", "html_first_headings", "html_runs", "html_titles", "html_to_html", "html_to_markdown"])
 def test_references_cut_off(spark, tmp_path, name):
     spark.createDataFrame(list(enumerate(CUT)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
