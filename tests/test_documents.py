@@ -411,3 +411,19 @@ def test_document_thumbnails(spark):
 
     got = {r.doc_id: r.thumbnail for r in thumbnails.of_documents(m.documents(spark, [report()])).collect()}
     assert got["report.md"].mime_type == "image/png"
+
+
+def test_files_that_share_a_batch(spark, monkeypatch):
+    def odd(data, name="", **_):
+        return m.document("odd", "t", metadata={"k": 1} if data == b"misfit" else {})
+
+    monkeypatch.setitem(sources.PARSERS, "odd", odd)
+    names = [f"{k}.{'odd' if k % 3 else 'html'}" for k in range(1200)] + ["x.none", "big.html"]
+    texts = [b"misfit" if k % 100 == 1 else f"<p>{k}</p>".encode() for k in range(1200)] + [b"", b"<p>" + b"y" * 600_000 + b"</p>"]
+    files = spark.createDataFrame([(n, bytearray(t)) for n, t in zip(names, texts)], "path string, content binary").coalesce(1)
+    got = {r.doc_id: r for r in sources.parse_files(files).collect()}
+    assert list(got) == names
+    bad = {n for n, t in zip(names, texts) if t == b"misfit" and n.endswith("odd")} | {"x.none"}
+    assert {n for n, r in got.items() if r.error} == bad and len(bad) > 1
+    assert all(got[f"{k}.html"].sections[0].elements[0].text == str(k) for k in range(0, 1200, 3) if k % 100 != 1)
+    assert len(got["big.html"].sections[0].elements[0].text) == 600_000

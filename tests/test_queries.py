@@ -66,3 +66,8 @@ def test_references_cut_off(spark, tmp_path, name):
     columns = sorted(df.columns)
     rows = sorted((tuple(norm(r[c]) for c in columns) for r in df.collect()), key=repr)
     assert rows == sorted((tuple(norm(x) for x in r) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["css_styles"])
+def test_documents_of_a_small_file_are_parsed_by_all_cores(spark, sf, name):
+    assert entry.queries()[name](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 def parsed(rows: DataFrame, key: str, made: Column, extension: str, **options) -> DataFrame:
     """Documents of a text made for each row, named `<key>.<extension>`."""
-    files = rows.select(F.concat(F.col(key).cast("string"), F.lit(f".{extension}")).alias("path"), F.encode(made, "UTF-8").alias("content"))
+    files = sources.spread(rows).select(F.concat(F.col(key).cast("string"), F.lit(f".{extension}")).alias("path"), F.encode(made, "UTF-8").alias("content"))
     return sources.parse_files(files, **options)
 
 

@@ -50,27 +50,62 @@ def parse(name: str, data: bytes, **options) -> dict:
     return PARSERS[extension](data, name, **options) | {"doc_id": name, "source_file": name}
 
 
+#: Documents go to Spark in batches of at most so many, or of what so many bytes of files have given.
+BATCH_DOCS, BATCH_BYTES = 500, 1 << 18
+
+
 def parse_files(files: DataFrame, name_col: str = "path", data_col: str = "content", **options) -> DataFrame:
-    """Documents of files(name, bytes): narrow, no shuffle; batches are small, as a row holds a whole file."""
+    """Documents of files(name, bytes): narrow, no shuffle; small files share a batch, a file over BATCH_BYTES ends one."""
     schema = to_arrow_schema(m.schema())
     parsers = dict(PARSERS)
+    most_docs, most_bytes = BATCH_DOCS, BATCH_BYTES
+
+    def failed(name: str | None, e: Exception) -> dict:
+        return m.document((name or "").rpartition(".")[2].lower(), doc_id=name, source_file=name, error=f"{type(e).__name__}: {e}")
+
+    def parsed(name: str | None, data: bytes) -> dict:
+        extension = (name or "").rpartition(".")[2].lower()
+        try:
+            if extension not in parsers:
+                raise ValueError(f"no parser for .{extension}")
+            return parsers[extension](data, name or "", **options) | {"doc_id": name, "source_file": name}
+        except Exception as e:  # noqa: BLE001 - a broken file is a row, not the end of the job
+            return failed(name, e)
+
+    def made(docs: list[dict]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield pa.RecordBatch.from_pylist(docs, schema)
+        except Exception as e:  # noqa: BLE001 - nor is one that does not fit the schema, nor the end of its neighbours
+            if len(docs) == 1:
+                yield pa.RecordBatch.from_pylist([failed(docs[0]["doc_id"], e)], schema)
+            else:
+                for doc in docs:
+                    yield from made([doc])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, size = [], 0
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                extension = (name or "").rpartition(".")[2].lower()
-                try:
-                    if extension not in parsers:
-                        raise ValueError(f"no parser for .{extension}")
-                    doc = parsers[extension](data or b"", name or "", **options)
-                    made = pa.RecordBatch.from_pylist([doc | {"doc_id": name, "source_file": name}], schema)
-                except Exception as e:  # noqa: BLE001 - a broken file is a row, not the end of the job
-                    made = pa.RecordBatch.from_pylist([m.document(extension, doc_id=name, source_file=name, error=f"{type(e).__name__}: {e}")], schema)
-                yield made
+                docs.append(parsed(name, data or b""))
+                size += len(data or b"")
+                if len(docs) >= most_docs or size >= most_bytes:
+                    yield from made(docs)
+                    docs, size = [], 0
+        if docs:
+            yield from made(docs)
 
     return files.select(F.col(name_col).cast("string").alias("name"), F.col(data_col).cast("binary").alias("data")).mapInArrow(run, m.DOCUMENT)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out over four tasks a core where they come in fewer: for narrow rows that cost much each.
+
+    A small file is a task or two however many rows it has. Rows that come in as many tasks or more stay where they are.
+    """
+    wanted = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= wanted else rows.repartition(wanted)
+
+
 def files_of(spark: SparkSession, *paths: str) -> DataFrame:
     """Spark's rows of files and folders (with all below them): path, modificationTime, length, content."""
     glob = "*.{" + ",".join(PARSERS) + "}"
