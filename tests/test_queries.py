@@ -68,6 +68,6 @@ def test_references_cut_off(spark, tmp_path, name):
     assert rows == sorted((tuple(norm(x) for x in r) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["css_styles", "front_matter", "html_spans", "markdown_blocks"])
+@pytest.mark.parametrize("name", ["css_styles", "front_matter", "html_spans", "markdown_blocks", "markdown_marks"])
 def test_documents_of_a_small_file_are_parsed_by_all_cores(spark, sf, name):
     assert entry.queries()[name](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
