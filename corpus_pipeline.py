@@ -40,12 +40,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (operator 10)."""
-    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("source").alias("of")).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    spot = lambda i, own, of: F.struct(i.alias("id"), own.alias("hash"), of.cast("string").alias("of")).alias("spot")
+    mixed = mixing.mix(docs).groupBy(spot(F.col("doc_id"), F.col("text_hash"), F.col("source"))).agg(F.sum("copies").alias("copies")).where("copies > 0")
     names, rows = docs.columns, numbered(docs)
     i, text, source = (f"c{names.index(n)}" for n in ("doc_id", "text", "source"))
-    # rows that agree in id, text and source are one document here; the mix has added up their copies
-    once = one_of_each(rows.withColumn("own", F.xxhash64(text)), [i, "own", source], [c for c in rows.columns if c not in (i, text, source)])
-    found = once.join(mixed, F.col(i).eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")) & F.col(source).eqNullSafe(F.col("of")))
+    # rows that agree in id, text and source are one document here; the mix has added up their copies. The three are one value,
+    # nulls included, so that texts are shuffled once, for the choice among equal rows and for the join
+    once = one_of_each(rows.withColumn("spot", spot(F.col(i), F.xxhash64(text), F.col(source)).cast(mixed.schema["spot"].dataType)), ["spot"], [c for c in rows.columns if c not in (i, text, source)])
+    found = once.join(mixed, "spot")
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(c).alias(n) for c, n in zip(rows.columns, names)])
 
 

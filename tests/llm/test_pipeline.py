@@ -68,3 +68,28 @@ def test_odd_tables(spark, sf):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "own.copies"], name
             docs = spark.createDataFrame(docs.collect(), schema)
         cp.STAGES[-1][1](spark, docs, sf).collect()
+
+
+def test_texts_are_shuffled_once_at_the_end_of_a_stage(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c", "s", "x"), (1, "a b c", "s", "y"), (None, "a b c d", None, "x"), (3, None, "s", "z")], "doc_id long, text string, source string, extra string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage, shuffles in ((cp.drop_copies, 2), (cp.mix_sources, 7)):
+            plan = stage(spark, docs, None)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == shuffles, stage.__name__
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("bits", [12, 25, 33])
+def test_meetings_of_variants_made_where_they_lie(spark, bits):
+    prints = sorted({(f, (k * 2654435761 >> 3) % (1 << bits) ^ 1 << (k + f) % bits ^ 1 << j % bits) for k in range(60) for f in range(2) for j in range(k % 4)})
+    xs = [f << bits + 6 | b << 6 | simhash.UNFLIPPED for f, b in prints]
+    keys = spark.createDataFrame([(x,) for x in xs], "x long")
+    at = {}
+    for x in xs:
+        for v in [x & -64] + [(x & -64) ^ 1 << j + 6 for j in range(bits)]:
+            at.setdefault(v, []).append(x)
+    want = sorted((x, v, len(m)) for v, m in at.items() if len(m) > 1 for x in m)
+    assert want and sorted(tuple(r) for r in simhash.meet_packed(keys, bits, 2).collect()) == want
+    assert simhash.sent_variants(keys, bits, simhash.dealt_bits(keys, bits, 2)).count() == 11 * len(xs)

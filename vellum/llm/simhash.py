@@ -225,16 +225,39 @@ def packed(family: int, fp, bits: int):
     return F.lit(family << bits + 6).cast("long").bitwiseOR(F.shiftleft(fp, 6)).bitwiseOR(F.lit(UNFLIPPED))
 
 
-def meet_packed(keys: DataFrame, bits: int) -> DataFrame:
+def dealt_bits(keys: DataFrame, bits: int, families: int) -> int:
+    """Of the bits, the highest by which variants are dealt out: 2 ** dealt * families values, 32 for each partition and 1,024 at least."""
+    partitions = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(bits, max(10, math.ceil(math.log2(32 * partitions / families))))
+
+
+def sent_variants(keys: DataFrame, bits: int, dealt: int) -> DataFrame:
+    """(v, part): each x of keys as it is and with each of its `dealt` highest bits flipped; part: the family and those bits of v."""
+    masks = [0] + [flip(j) for j in range(bits - dealt, bits)]
+    v = keys.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("_mask"), "x").select(F.col("x").bitwiseXOR(F.col("_mask")).alias("v"))
+    return v.withColumn("part", F.shiftright("v", bits - dealt + 6))
+
+
+def flip(j: int) -> int:
+    """What flips bit j of a packed fingerprint and says so in its lowest bits."""
+    return (1 << j + 6) ^ UNFLIPPED ^ j
+
+
+def meet_packed(keys: DataFrame, bits: int, families: int = 1) -> DataFrame:
     """As meet, for packed fingerprints `x` and radius 2: (x, at, n) for each value `at` at which n > 1 of them meet.
 
-    A variant is one number, the flipped value and which bit is flipped, so a row of the shuffle is little more than that.
+    A variant is one number, the flipped value and which bit is flipped. Variants are dealt out by the family and the highest
+    bits of their value, so those with a lower bit flipped lie where the fingerprint itself does: they are made there, and the
+    shuffle has only the variants of the highest bits.
     """
-    masks = [0] + [(1 << j + 6) ^ UNFLIPPED ^ j for j in range(bits)]
-    emitted = keys.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("_mask"), "x").select(F.col("x").bitwiseXOR(F.col("_mask")).alias("v"))
+    dealt = dealt_bits(keys, bits, families)
+    sent = sent_variants(keys, bits, dealt).repartition("part")
+    there = F.array(*[F.lit(m).cast("long") for m in [0] + [flip(j) for j in range(bits - dealt)]])
+    mask = F.explode(F.when(F.col("v").bitwiseAND(F.lit(63).cast("long")) == UNFLIPPED, there).otherwise(F.array(F.lit(0).cast("long"))))
+    emitted = sent.select("part", "v", mask.alias("_mask")).select("part", F.col("v").bitwiseXOR(F.col("_mask")).alias("v"))
     emitted = emitted.withColumn("at", F.col("v").bitwiseAND(F.lit(-64).cast("long")))
     x = F.expr(f"CASE WHEN v & 63 = {UNFLIPPED} THEN v ELSE v ^ shiftleft(1L, CAST(v & 63 AS INT) + 6) ^ ({UNFLIPPED}L ^ (v & 63)) END")
-    return emitted.withColumn("n", F.count("*").over(W.partitionBy("at"))).where("n > 1").select(x.alias("x"), "at", "n")
+    return emitted.withColumn("n", F.count("*").over(W.partitionBy("part", "at"))).where("n > 1").select(x.alias("x"), "at", "n")
 
 
 def first_pairs(met: DataFrame) -> DataFrame:
@@ -308,7 +331,7 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             with Scratch(spark) as short_lived:
                 spot = prints.select("key", F.explode(F.array(*spots[at : at + a_round])).alias("x"))
                 values = short_lived.written(spot.groupBy("x").agg(F.count("*").alias("c")), "family-prints")
-                met.append(scratch.written(meet_packed(values.select("x"), bits), "meeting"))
+                met.append(scratch.written(meet_packed(values.select("x"), bits, len(spots[at : at + a_round])), "meeting"))
                 live = values.where("c > 1").select("x").unionByName(met[-1].select("x")).distinct()
                 here.append(scratch.written(spot.join(live, "x", "left_semi"), "live-prints"))
             spark._jvm.System.gc()  # a round's shuffle files go when the driver has forgotten its plan
@@ -368,8 +391,9 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     ids = rows.select(F.col(id_col).alias("id"), key.alias("key")).groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("low"))
     groups = copy_groups(rows, id_col, text_col, width, least)
     rooted = ids.join(groups, "key", "left").select("key", "low", F.coalesce("root", "key").alias("root"))
-    stay = rooted.groupBy("root").agg(F.min(F.struct("low.none", "low.id", "key")).alias("s")).select(F.col("s.key").alias("skey"), F.col("s.id").alias("sid"))
+    stay = rooted.groupBy("root").agg(F.min(F.struct("low.none", "low.id", "key")).alias("s")).select(F.struct(F.col("s.key").alias("key"), F.col("s.id").alias("id")).alias("spot"))
     stay, _ = written(stay, "stay")
-    kept = rows.withColumn("own", key).join(stay, (F.col("own") == F.col("skey")) & F.col(id_col).eqNullSafe(F.col("sid")))
-    kept = one_of_each(kept, ["own"], [c for c in rows.columns if c not in (id_col, text_col)])
+    # text and id as one value, by which texts are shuffled once: for the join and for the choice among equal rows
+    kept = rows.withColumn("spot", F.struct(key.alias("key"), F.col(id_col).alias("id")).cast(stay.schema["spot"].dataType)).join(stay, "spot")
+    kept = one_of_each(kept, ["spot"], [c for c in rows.columns if c not in (id_col, text_col)])
     return kept.select(*[F.col(c).alias(n) for c, n in zip(rows.columns, names)])
