@@ -6,6 +6,7 @@ Files come through Spark's binaryFile reader, so any store that Spark reads will
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,13 +53,15 @@ def parse(name: str, data: bytes, **options) -> dict:
 
 #: Documents go to Spark in batches of at most so many, or of what so many bytes of files have given.
 BATCH_DOCS, BATCH_BYTES = 500, 1 << 18
+#: New objects after which Python looks for cycles among them: a batch's documents live until it ends, and are not looked through again and again.
+NEW_OBJECTS = 100_000
 
 
 def parse_files(files: DataFrame, name_col: str = "path", data_col: str = "content", **options) -> DataFrame:
     """Documents of files(name, bytes): narrow, no shuffle; small files share a batch, a file over BATCH_BYTES ends one."""
     schema = to_arrow_schema(m.schema())
     parsers = dict(PARSERS)
-    most_docs, most_bytes = BATCH_DOCS, BATCH_BYTES
+    most_docs, most_bytes, new_objects = BATCH_DOCS, BATCH_BYTES, NEW_OBJECTS
 
     def failed(name: str | None, e: Exception) -> dict:
         return m.document((name or "").rpartition(".")[2].lower(), doc_id=name, source_file=name, error=f"{type(e).__name__}: {e}")
@@ -82,7 +85,7 @@ def parse_files(files: DataFrame, name_col: str = "path", data_col: str = "conte
                 for doc in docs:
                     yield from made([doc])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, size = [], 0
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -94,6 +97,14 @@ def parse_files(files: DataFrame, name_col: str = "path", data_col: str = "conte
         if docs:
             yield from made(docs)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual = gc.get_threshold()
+        gc.set_threshold(new_objects, *usual[1:])
+        try:
+            yield from batched(batches)
+        finally:
+            gc.set_threshold(*usual)
+
     return files.select(F.col(name_col).cast("string").alias("name"), F.col(data_col).cast("binary").alias("data")).mapInArrow(run, m.DOCUMENT)
 
 
