@@ -21,3 +21,13 @@ def test_collector_rests_while_documents_are_made(spark):
     finally:
         sources.PARSERS.pop("seen")
     assert gc.get_threshold()[0] < sources.NEW_OBJECTS
+
+
+def test_plain_tags_take_the_short_way(monkeypatch):
+    page = b"<body><table><tr><td>1</td><TD>2</td></tr></table></body>"
+    want = markup.parse_html(page, "a.html")
+    for name in ("parse_starttag", "parse_endtag", "updatepos"):
+        monkeypatch.setattr(markup.HTMLParser, name, Never().__getattr__)
+    assert markup.parse_html(page, "a.html") == want and [c["text"] for c in want["sections"][0]["elements"][0]["table"]["rows"][0]["cells"]] == ["1", "2"]
+    with pytest.raises(AssertionError):
+        markup.parse_html(b"<p id='x'>", "a.html")
