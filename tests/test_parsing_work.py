@@ -31,3 +31,11 @@ def test_plain_tags_take_the_short_way(monkeypatch):
     assert markup.parse_html(page, "a.html") == want and [c["text"] for c in want["sections"][0]["elements"][0]["table"]["rows"][0]["cells"]] == ["1", "2"]
     with pytest.raises(AssertionError):
         markup.parse_html(b"<p id='x'>", "a.html")
+
+
+def test_lines_are_only_asked_for_what_they_begin_with(monkeypatch):
+    monkeypatch.setattr(markup, "HEAD", Never())
+    monkeypatch.setattr(markup, "PICTURE", Never())
+    assert [e["type"] for e in markup.markdown_blocks(["a line", "", "- item", "> said", "| a |"])] == ["paragraph", "paragraph", "paragraph", "table"]
+    with pytest.raises(AssertionError):
+        markup.markdown_blocks(["# head"])
