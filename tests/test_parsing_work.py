@@ -39,3 +39,10 @@ def test_lines_are_only_asked_for_what_they_begin_with(monkeypatch):
     assert [e["type"] for e in markup.markdown_blocks(["a line", "", "- item", "> said", "| a |"])] == ["paragraph", "paragraph", "paragraph", "table"]
     with pytest.raises(AssertionError):
         markup.markdown_blocks(["# head"])
+
+
+def test_text_without_marks_is_one_run(monkeypatch):
+    monkeypatch.setattr(markup, "INLINE_MARK", Never())
+    assert markup.markdown_runs("plain text") == [model.run("plain text")] and markup.markdown_runs("") == []
+    with pytest.raises(AssertionError):
+        markup.markdown_runs("one *mark")
