@@ -1,5 +1,7 @@
 """The corpus pipeline stage by stage, and on odd tables."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,20 @@ def test_meetings_of_variants_made_where_they_lie(spark, bits):
     want = sorted((x, v, len(m)) for v, m in at.items() if len(m) > 1 for x in m)
     assert want and sorted(tuple(r) for r in simhash.meet_packed(keys, bits, 2).collect()) == want
     assert simhash.sent_variants(keys, bits, simhash.dealt_bits(keys, bits, 2)).count() == 11 * len(xs)
+
+
+def test_near_dedup_moves_numbers_in_place_of_md5(spark, monkeypatch):
+    kinds = {}
+
+    class Seen(simhash.Scratch):
+        def written(self, df, name):
+            kinds[name] = {c: k for c, k in df.dtypes if c in ("key", "root", "a", "b", "low", "v", "part")}
+            return super().written(df, name)
+
+    monkeypatch.setattr(simhash, "Scratch", Seen)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*words[: 60 - i % 2], f"x{i}"])) for i in range(6)] + [(9, "another text")]
+    groups = {r.key: r.root for r in simhash.copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(groups) == 6 and len(set(groups.values())) == 1 and set(groups) <= {hashlib.md5(t.encode()).hexdigest() for _, t in rows}
+    assert {"members", "rooted", "candidates", "links"} <= set(kinds) and {k for of in kinds.values() for k in of.values()} == {"bigint"}
+    assert simhash.sent_variants(spark.createDataFrame([(63,)], "x long"), 12, 10).columns == ["v"]  # nothing that v tells is sent beside it

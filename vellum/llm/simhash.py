@@ -232,10 +232,9 @@ def dealt_bits(keys: DataFrame, bits: int, families: int) -> int:
 
 
 def sent_variants(keys: DataFrame, bits: int, dealt: int) -> DataFrame:
-    """(v, part): each x of keys as it is and with each of its `dealt` highest bits flipped; part: the family and those bits of v."""
+    """(v): each x of keys as it is and with each of its `dealt` highest bits flipped."""
     masks = [0] + [flip(j) for j in range(bits - dealt, bits)]
-    v = keys.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("_mask"), "x").select(F.col("x").bitwiseXOR(F.col("_mask")).alias("v"))
-    return v.withColumn("part", F.shiftright("v", bits - dealt + 6))
+    return keys.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("_mask"), "x").select(F.col("x").bitwiseXOR(F.col("_mask")).alias("v"))
 
 
 def flip(j: int) -> int:
@@ -251,7 +250,8 @@ def meet_packed(keys: DataFrame, bits: int, families: int = 1) -> DataFrame:
     shuffle has only the variants of the highest bits.
     """
     dealt = dealt_bits(keys, bits, families)
-    sent = sent_variants(keys, bits, dealt).repartition("part")
+    part = F.shiftright("v", bits - dealt + 6)  # the family and the highest bits, told from v on either side of the shuffle
+    sent = sent_variants(keys, bits, dealt).repartition(part).withColumn("part", part)
     there = F.array(*[F.lit(m).cast("long") for m in [0] + [flip(j) for j in range(bits - dealt)]])
     mask = F.explode(F.when(F.col("v").bitwiseAND(F.lit(63).cast("long")) == UNFLIPPED, there).otherwise(F.array(F.lit(0).cast("long"))))
     emitted = sent.select("part", "v", mask.alias("_mask")).select("part", F.col("v").bitwiseXOR(F.col("_mask")).alias("v"))
@@ -317,14 +317,16 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     First few pairs of each text are asked, which links most copies. Then all pairs that meet and are not yet in one group
     are, so the groups are those of all candidates, while the members of a large group are not compared with each other.
+    Within all steps a text is a number, a quarter of its md5; the table that gives it is written once, so it stays the same.
     """
     spark = df.sparkSession
     with Scratch(spark) as scratch:
-        own = df.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-        texts = scratch.written(own.select("key").distinct(), "text-keys").count()
+        own = df.select(text_key(F.col(text_col)).alias("md5"), F.col(text_col).alias("text"))
+        texts = scratch.written(own.select("md5").distinct(), "text-keys").count()
         bits, families = shape(texts, least, recall)
         words = -(-bits * families // 64)
-        prints = scratch.written(fingerprints(own, "key", "text", width, words).groupBy("key").agg(F.min("fp").alias("fp")), "prints")
+        prints = fingerprints(own, "md5", "text", width, words).groupBy("md5").agg(F.min("fp").alias("fp"))
+        prints = scratch.written(prints.withColumn("key", F.monotonically_increasing_id()), "prints")
         spots = [packed(k, p, bits) for k, p in enumerate(short_prints(bits, families))]
         a_round, met, here = max(1, ROUND_ROWS // (bits + 1)), [], []
         for at in range(0, families, a_round):
@@ -335,11 +337,15 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 live = values.where("c > 1").select("x").unionByName(met[-1].select("x")).distinct()
                 here.append(scratch.written(spot.join(live, "x", "left_semi"), "live-prints"))
             spark._jvm.System.gc()  # a round's shuffle files go when the driver has forgotten its plan
-        return _groups(scratch, own, prints, functools.reduce(DataFrame.unionByName, met), functools.reduce(DataFrame.unionByName, here), width, least, 64 * words)
+        groups = _groups(scratch, own, prints, functools.reduce(DataFrame.unionByName, met), functools.reduce(DataFrame.unionByName, here), width, least, 64 * words)
+        name = lambda n: prints.select(F.col("key").alias(n), F.col("md5").alias(f"{n}_md5"))
+        named = groups.join(name("key"), "key").join(name("root"), "root")
+        return written(named.select(F.col("key_md5").alias("key"), F.col("root_md5").alias("root")), "copy-groups")[0]
 
 
 def _groups(scratch: Scratch, own: DataFrame, prints: DataFrame, met: DataFrame, here: DataFrame, width: int, least: float, all_bits: int) -> DataFrame:
-    """copy_groups, from the values at which packed fingerprints meet, met(x, at, n), and the texts that have them, here(key, x)."""
+    """copy_groups by numbers, from the values at which packed fingerprints meet, met(x, at, n), and the texts that have them, here(key, x)."""
+    spark = own.sparkSession
     lows = scratch.written(here.groupBy("x").agg(F.min("key").alias("low")), "family-lows")
 
     def ordered(a, b):
@@ -347,37 +353,43 @@ def _groups(scratch: Scratch, own: DataFrame, prints: DataFrame, met: DataFrame,
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of keys that are similar."""
-        of = lambda n, f: prints.select(F.col("key").alias(n), F.col("fp").alias(f))
-        differing = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        asked = scratch.written(pairs.join(of("a", "fa"), "a").join(of("b", "fb"), "b").where(differing <= most_differing(all_bits, least)).select("a", "b"), "close-candidates")
-        wanted = scratch.written(asked.select(F.col("a").alias("key")).unionByName(asked.select(F.col("b").alias("key"))).distinct(), "candidate-keys")
-        # where few texts are asked for, Spark's size check sends their keys out and no text is shuffled; else it can split the
-        # join of a large group of copies, as nothing but the written table stands above it
-        texts = scratch.written(own.join(wanted, "key", "left_semi"), "candidate-rows")
-        texts = scratch.written(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
-        both = asked.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-
-        def verify(batch: pa.RecordBatch) -> dict:
-            near = [similarity(x, y, width) >= least for x, y in zip(utf8_values(batch.column(2)), utf8_values(batch.column(3)))]
-            return {"a": batch.column(0), "b": batch.column(1), "near": near}
-
-        return scratch.written(map_rows(both, verify, "a string, b string, near boolean").where("near").select("a", "b"), "links")
+        with Scratch(spark) as passing:  # texts and what is asked go before the next step
+            of = lambda n, f: prints.select(F.col("key").alias(n), F.col("fp").alias(f))
+            differing = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+            asked = passing.written(pairs.join(of("a", "fa"), "a").join(of("b", "fb"), "b").where(differing <= most_differing(all_bits, least)).select("a", "b"), "close-candidates")
+            wanted = asked.select(F.col("a").alias("key")).unionByName(asked.select(F.col("b").alias("key"))).distinct()
+            wanted = passing.written(wanted.join(prints.select("key", "md5"), "key"), "candidate-keys")
+            # where few texts are asked for, Spark's size check sends their keys out and no text is shuffled; else it can split the
+            # join of a large group of copies, as nothing but the written table stands above it
+            texts = passing.written(own.join(wanted, "md5").select("key", "text"), "candidate-rows")
+            texts = passing.written(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
+            both = asked.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+            def verify(batch: pa.RecordBatch) -> dict:
+                near = [similarity(x, y, width) >= least for x, y in zip(utf8_values(batch.column(2)), utf8_values(batch.column(3)))]
+                return {"a": batch.column(0), "b": batch.column(1), "near": near}
+
+            found = scratch.written(map_rows(both, verify, "a long, b long, near boolean").where("near").select("a", "b"), "links")
+        spark._jvm.System.gc()  # their shuffle files, too
+        return found
 
     equal = here.join(lows, "x").where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
     low_a, low_b = lows.select(F.col("x").alias("a"), F.col("low").alias("key_a")), lows.select(F.col("x").alias("b"), F.col("low").alias("key_b"))
     close = first_pairs(met).join(low_a, "a").join(low_b, "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     first = scratch.written(equal.unionByName(close).where("a <> b").select(*ordered("a", "b")).distinct(), "candidates")
-    groups, _ = written(components(links(first)).withColumnRenamed("node", "key"), "copy-groups")
-
-    rooted = scratch.written(here.join(groups, "key", "left").select("x", "key", F.coalesce("root", "key").alias("root")), "rooted")
-    # texts of one value share that value itself, whose lowest bits no meeting value has
-    members = rooted.join(met.select("x", "at"), "x").select("at", "key", "root").unionByName(rooted.select(F.col("x").alias("at"), "key", "root"))
-    members = scratch.written(members, "members")
-    rest = scratch.written(pairs_between(members, scratch).join(first, ["a", "b"], "left_anti"), "other-candidates")
+    groups = scratch.written(components(links(first)).withColumnRenamed("node", "key"), "linked")
+
+    with Scratch(spark) as passing:
+        rooted = passing.written(here.join(groups, "key", "left").select("x", "key", F.coalesce("root", "key").alias("root")), "rooted")
+        # texts of one value share that value itself, whose lowest bits no meeting value has
+        members = rooted.join(met.select("x", "at"), "x").select("at", "key", "root").unionByName(rooted.select(F.col("x").alias("at"), "key", "root"))
+        members = passing.written(members, "members")
+        rest = scratch.written(pairs_between(members, passing).join(first, ["a", "b"], "left_anti"), "other-candidates")
+    spark._jvm.System.gc()
     if not rest.limit(1).count():
         return groups
     stars = groups.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))
-    return written(components(stars.unionByName(links(rest))).withColumnRenamed("node", "key"), "copy-groups")[0]
+    return scratch.written(components(stars.unionByName(links(rest))).withColumnRenamed("node", "key"), "linked")
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
